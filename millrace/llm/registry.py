@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality
+from millrace.llm import quality, simhash
 
-QUERIES = {"op1_quality_rules": quality.query}
+QUERIES = {
+    "op1_quality_rules": quality.query,
+    "op5_simhash": simhash.query,
+}
 ORACLES = {"op1_quality_rules": quality.ORACLE}
