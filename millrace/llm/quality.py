@@ -15,7 +15,7 @@ an empty result; further columns are ignored by the query and passed on by ``fil
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.hof import let
@@ -146,7 +146,9 @@ def thresholds(metrics: DataFrame) -> DataFrame:
     ren = lambda df, p: df.select(*[c for c in df.columns if c not in cols and c != "docs"], *(F.col(c).alias(f"{p}{c}") for c in ["docs", *cols]))
     own, lang, all_ = (ren(_fences(sketch, k), p) for k, p in ((["lang", "source"], "s_"), (["lang"], "l_"), ([], "a_")))
     lang = lang.withColumnRenamed("lang", "__lang")
-    t = own.join(lang, own["lang"].eqNullSafe(lang["__lang"]), "left").drop("__lang").join(all_, F.lit(True), "left")
+    t = own.join(lang, own["lang"].eqNullSafe(lang["__lang"]), "left").drop("__lang")
+    corpus = (all_.first() or Row(**dict.fromkeys(all_.columns))).asDict()  # one row
+    t = t.withColumns({c: F.lit(v).cast("long") for c, v in corpus.items()})
     pick = lambda c: F.when(F.col("s_docs") >= MIN_GROUP, F.col(f"s_{c}")).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
     return t.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *(pick(c).alias(f"__{c}") for c in cols))
 

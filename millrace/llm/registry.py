@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import quality, simhash
+from millrace.llm import mixing, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op5_simhash": simhash.query,
+    "op7_mixing": mixing.query,
 }
 ORACLES = {"op1_quality_rules": quality.ORACLE}
