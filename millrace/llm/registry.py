@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, quality, simhash
+from millrace.llm import mixing, packing, quality, simhash
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op4_packing": packing.query,
     "op5_simhash": simhash.query,
     "op7_mixing": mixing.query,
 }
