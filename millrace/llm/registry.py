@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, packing, quality, simhash
+from millrace.llm import chat, langid, mixing, packing, quality, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op4_packing": packing.query,
     "op5_simhash": simhash.query,
+    "op6_chat_format": chat.query,
     "op7_mixing": mixing.query,
+    "op8_url_filters": urls.query,
+    "op10_language_id": langid.query,
+}
+ORACLES = {
+    "op1_quality_rules": quality.ORACLE,
+    "op6_chat_format": chat.ORACLE,
+    "op8_url_filters": urls.ORACLE,
 }
-ORACLES = {"op1_quality_rules": quality.ORACLE}
