@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, langid, mixing, packing, quality, simhash, urls
+from millrace.llm import chat, langid, mixing, packing, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_chat_format": chat.query,
     "op7_mixing": mixing.query,
     "op8_url_filters": urls.query,
+    "op9_pii": pii.query,
     "op10_language_id": langid.query,
 }
 ORACLES = {
