@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, langid, mixing, packing, pii, quality, simhash, urls
+from millrace.llm import chat, langid, media, mixing, packing, pii, quality, simhash, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_media_webp": media.query,
     "op4_packing": packing.query,
     "op5_simhash": simhash.query,
     "op6_chat_format": chat.query,
