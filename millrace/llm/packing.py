@@ -244,7 +244,7 @@ def pack_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    return map_batches(docs.select("doc_id", "text"), _piece_batch, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return map_batches(docs.selectExpr("cast(doc_id as bigint) doc_id", "text"), _piece_batch, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(docs: DataFrame, keep_for: str = "call") -> DataFrame:

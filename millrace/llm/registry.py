@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, langid, media, mixing, packing, pii, quality, simhash, urls
+import importlib.util
+
+from millrace.llm import chat, langid, media, mixing, packing, pii, quality, simhash, substring, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_media_webp": media.query,
+    "op3_substring_dedup": substring.query,
     "op4_packing": packing.query,
     "op5_simhash": simhash.query,
     "op6_chat_format": chat.query,
@@ -20,3 +23,10 @@ ORACLES = {
     "op6_chat_format": chat.ORACLE,
     "op8_url_filters": urls.ORACLE,
 }
+
+if importlib.util.find_spec("corpus_pipeline") is not None:
+    import corpus_pipeline
+
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
