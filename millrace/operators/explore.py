@@ -302,7 +302,8 @@ def anomaly(df: DataFrame, *, columns=(), method="boxplot", window=20, threshold
                 out = out.withColumn(f"__m{i}", centre)
                 seen = F.collect_list(x).over(f)
                 out = out.withColumn(f"__s{i}", seen)
-                dev = F.sort_array(F.transform(F.col(f"__s{i}"), lambda v, i=i: F.abs(v - F.col(f"__m{i}"))))
+                mid = F.col(f"__m{i}")
+                dev = F.sort_array(F.transform(F.col(f"__s{i}"), lambda v: F.abs(v - mid)))  # noqa: B023
                 out = out.withColumn(f"__s{i}", dev)
                 n = F.size(f"__s{i}")
                 mad = (F.get(F.col(f"__s{i}"), F.floor((n - 1) / 2).cast("int")) + F.get(F.col(f"__s{i}"), F.floor(n / 2).cast("int"))) / 2 * 1.4826

@@ -13,6 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark drops a finished query's shuffle files at once where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: dict[str, list[str]] = {}
 
 
@@ -43,7 +46,12 @@ def materialize(df: DataFrame, tag: str = "table", keep_for: str = "call") -> Da
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/millrace/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the written table replaces what was shuffled for it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     if not _written:
         atexit.register(_release_all)
     _written.setdefault(keep_for, []).append(path)
@@ -56,14 +64,6 @@ def release(spark: SparkSession, keep_for: str = "call") -> None:
         _delete(spark, path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner drop shuffle files of finished, unreferenced plans."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _release_all() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
