@@ -443,11 +443,11 @@ for _policy in ("drop", "positive", "negative"):
         _g = 43200 if _gap else 0
         _now = {"drop": "NULL", "positive": "1", "negative": "0"}[_policy]
 
-        @query(f"horizon_labels_{_policy}" + ("_gap" if _gap else ""), f"""WITH {SPAN}, f AS (SELECT no, t0, max((event_type <> 'view')::INT) AS bad FROM w GROUP BY no, t0),
-p AS (SELECT f.no, f.t0, max((e.event_type <> 'view')::INT) AS ahead FROM f JOIN e ON e.no = f.no AND e.t > f.t0 + 259200 + {_g} AND e.t <= f.t0 + 345600 + {_g} GROUP BY ALL)
+        @query(f"horizon_labels_{_policy}" + ("_gap" if _gap else ""), f"""WITH {SPAN}, f AS (SELECT no, t0, max((value > 120)::INT) AS bad FROM w GROUP BY no, t0),
+p AS (SELECT f.no, f.t0, max((e.value > 120)::INT) AS ahead FROM f JOIN e ON e.no = f.no AND e.t > f.t0 + 259200 + {_g} AND e.t <= f.t0 + 345600 + {_g} GROUP BY ALL)
 SELECT {TID}, y AS label FROM (SELECT f.no, f.t0, CASE WHEN bad = 1 THEN {_now} WHEN f.t0 + 345600 + {_g} <= last + 1e-6 THEN ahead END::BIGINT AS y FROM f JOIN l ON l.no = f.no LEFT JOIN p ON p.no = f.no AND p.t0 = f.t0) WHERE y IS NOT NULL""")
         def _(s, sf, policy=_policy, gap=_gap):
-            return feature.statistical(events(s, sf), columns=["value"], features=["mean"], label_column="event_type", label_policy="horizon", normal_label="view", prediction_horizon="1d", prediction_gap=gap, current_fault_policy=policy, **SPAN_SPEC).select("window_id", "label")
+            return feature.statistical(events(s, sf).withColumn("hot", (F.col("value") > 120).cast("long")), columns=["value"], features=["mean"], label_column="hot", label_policy="horizon", prediction_horizon="1d", prediction_gap=gap, current_fault_policy=policy, **SPAN_SPEC).select("window_id", "label")
 
 
 @query("fit_linear_windows", f"""WITH {row_windows(20, 20)}, f AS (SELECT no, start, regr_slope(value, pos - start) AS a, regr_intercept(value, pos - start) AS b, regr_r2(value, pos - start) AS r FROM w GROUP BY no, start)
@@ -729,7 +729,7 @@ def _(s, sf):
 
 @query("dynamic_threshold", f"""WITH a AS (SELECT event_id, value, median(value) OVER f AS m, list(value) OVER f AS l FROM events WINDOW f AS ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 b AS (SELECT *, 1.4826 * list_median(list_transform(l, lambda x: abs(x - m))) AS s FROM a), c AS (SELECT *, CASE WHEN s > 0 THEN s ELSE (SELECT stddev_pop(value) FROM events) END AS k FROM b)
-SELECT event_id, m AS center, m - 3 * k AS lo, m + 3 * k AS hi FROM c""", "center lo hi", 4)
+SELECT event_id, m AS center, m - 3 * k AS lo, m + 3 * k AS hi FROM c""", "center lo hi", 7)
 def _(s, sf):
     r = explore.anomaly(events(s, sf), columns=["value"], method="dynamic_threshold", window=10, group_column="user_id", time_column="ts")
     return keyed(r).select("event_id", F.col("value__center").alias("center"), F.col("value__lower").alias("lo"), F.col("value__upper").alias("hi"))
