@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.durations import as_seconds, seconds
 from millrace.functions.expr import compile_expression
+from millrace.functions.position import nth_smallest
 from millrace.operators.base import RID, OperatorError, guard, need, num, numeric_columns, operator, order_by
 from millrace.sources import tables
 
@@ -231,17 +232,16 @@ def split(df: DataFrame, *, method="random", test_size=0.25, random_state=42, gr
         test = groups.orderBy(F.xxhash64("__g", seed), "__g").limit(max(1, round(n * test_size))).withColumn("__test", F.lit(True))
         out = df.join(test, df[group_column].eqNullSafe(test["__g"]), "left").drop("__g")
     elif method == "temporal":
-        cut = df.orderBy(RID).offset(int(df.count() * (1 - test_size))).limit(1).select(RID).first()
-        out = df.withColumn("__test", F.col(RID) >= (cut[0] if cut else 0))
+        cut = nth_smallest(df, F.col(RID), int(df.count() * (1 - test_size)) + 1)
+        out = df.withColumn("__test", F.col(RID) >= F.lit(0 if cut is None else cut))
     elif stratify_column:
         w = Window.partitionBy(stratify_column)
         rank = F.row_number().over(w.orderBy(F.xxhash64(RID, seed), RID))
         out = df.withColumn("__test", rank <= F.round(F.count("*").over(w) * test_size))
-    else:  # the n rows of least hash: one bounded threshold, no global order
-        n = round(df.count() * test_size)
+    else:  # the n rows of least hash: one threshold, no global order
         h = F.xxhash64(RID, seed)
-        cut = df.select(h.alias("h")).orderBy("h").offset(max(n - 1, 0)).limit(1).first()
-        out = df.withColumn("__test", (h <= cut[0]) if cut and n else F.lit(False))
+        cut = nth_smallest(df, h, round(df.count() * test_size))
+        out = df.withColumn("__test", F.lit(False) if cut is None else h <= F.lit(cut))
     hit = F.coalesce("__test", F.lit(False))
     return {"train": out.where(~hit).drop("__test"), "test": out.where(hit).drop("__test")}
 

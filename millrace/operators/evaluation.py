@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.position import nth_smallest, positioned
 from millrace.operators.base import RID, OperatorError
 from millrace.operators.windows import overlapping, purge
 
@@ -85,7 +86,11 @@ def regression_metrics(pred: DataFrame) -> DataFrame:
 def hash_split(df: DataFrame, test_size: float, seed: int, by: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Seeded hash order, per class where ``by`` is given; exact counts by rank."""
     key = key_of(df)
-    w = Window.partitionBy(*([by] if by else [F.lit(0)]))
+    if not by:
+        cut = nth_smallest(df, F.xxhash64(key, F.lit(seed)), max(1, round(df.count() * test_size)))
+        hit = F.xxhash64(key, F.lit(seed)) <= F.lit(cut)
+        return df.where(~hit), df.where(hit)
+    w = Window.partitionBy(by)
     rank = F.row_number().over(w.orderBy(F.xxhash64(key, F.lit(seed)), key))
     marked = df.withColumn("__test", rank <= F.greatest(F.lit(1), F.round(F.count("*").over(w) * test_size)))
     return marked.where("not __test").drop("__test"), marked.where("__test").drop("__test")
@@ -128,8 +133,7 @@ def group_split(df: DataFrame, group: str, label: str, test_size: float, seed: i
 def temporal_split(df: DataFrame, label: str | None, test_size: float) -> tuple[DataFrame, DataFrame]:
     """Cut in row order; the cut may move by half the test size to give both sides every class."""
     n = df.count()
-    w = Window.orderBy(RID)
-    placed = df.select(RID, *([F.col(label).cast("string").alias("y")] if label else [])).withColumn("k", F.row_number().over(w))
+    placed = positioned(df.select(RID, *([F.col(label).cast("string").alias("y")] if label else [])), RID, "k").withColumn("k", F.col("k") + 1)
     want, slack = int(n * (1 - test_size)), int(n * test_size / 2)
     cut = want
     if label:

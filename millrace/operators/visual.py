@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.position import positioned
 from millrace.operators.base import RID, OperatorError, need, num, numeric_columns, operator
 from millrace.operators.explore import histogram_counts
 from millrace.operators.feature import correlation_matrix
@@ -18,8 +19,11 @@ ANY = "dataset:Dataset|FeatureDataset"
 
 def sampled(df: DataFrame, columns: list[str], group: str | None = None, points: int = POINTS) -> DataFrame:
     """Every k-th row of each group, ``points`` at most; k comes from the group's own count."""
-    w = Window.partitionBy(*([group] if group else [F.lit(0)]))
-    d = df.select(RID, *dict.fromkeys([*columns, *([group] if group else [])]))
+    d = df.select(*dict.fromkeys([RID, *columns, *([group] if group else [])]))
+    if not group:
+        step = max(1, -(-d.count() // points))
+        return positioned(d, RID, "__n").where(F.col("__n") % step == 0).drop("__n")
+    w = Window.partitionBy(group)
     d = d.withColumns({"__n": F.row_number().over(w.orderBy(RID)) - 1, "__k": F.ceil(F.count("*").over(w) / points)})
     return d.where("__n % __k = 0").drop("__n", "__k")
 

@@ -196,3 +196,16 @@ def test_explore_and_visual_are_bounded(spark):
     iso = explore.isotonic(df.limit(50), x_column="x", y_column="x")
     assert iso.first()["spearman"] == pytest.approx(1)
     assert not data.concat(df.limit(3), df.limit(2)).groupBy(RID).count().where(F.col("count") > 1).count()
+
+
+def test_positions_without_a_global_window(spark, monkeypatch):
+    from millrace.functions import position
+
+    monkeypatch.setattr(position, "FEW", 10)
+    df = spark.range(3000).select((F.col("id") * F.col("id") % 5003).alias("v"))
+    want = sorted(i * i % 5003 for i in range(3000))
+    for n in (1, 2, 1500, 2999, 3000):
+        assert position.nth_smallest(df, F.col("v"), n) == want[n - 1]
+    assert position.nth_smallest(df, F.col("v"), 3001) is None
+    placed = position.positioned(spark.range(100).select((F.col("id") * 3).alias("k")), "k", "p").orderBy("k").collect()
+    assert [r["p"] for r in placed] == list(range(100))
