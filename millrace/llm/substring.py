@@ -26,17 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.llm.arrow import map_batches
-from millrace.plans.durable import free_shuffles, materialize
+from millrace.plans.durable import materialize
 
 WINDOW = 13
 ROUNDS = 3
-MEMO = 400_000
+#: Bytes named at once.
+SEGMENT = 1 << 21
 FAR = 1 << 40
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -47,15 +47,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Names(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        n = self[word] = xxhash.xxh64_intdigest(word)
-        return n
+# Names of words: a polynomial over their bytes, from running sums over a whole buffer.
+_GAPS = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _A) | np.uint64(1)
+_BASE = 0x5851F42D4C957F2D
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-_names = _Names()
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, kept for the largest n so far."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)])
+    return _powers
+
+
+def _segment_names(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, name) of each word of a byte buffer that begins and ends at a gap or an edge."""
+    gap = np.r_[True, _GAPS[a], True]
+    s, e = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
+    power, inverse = _powers_to(len(a))
+    total = np.r_[np.uint64(0), np.cumsum(_BYTES[a] * power[: len(a)])]
+    return s, mix((total[e] - total[s]) * inverse[np.minimum(s, len(a) - 1)] + (e - s).astype(np.uint64) * _C)
+
+
+def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of all words of the texts, and where each text starts among them."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    a = np.frombuffer(b" ".join(raw), np.uint8)
+    starts, names, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while at < len(a):
+        end = min(len(a), at + SEGMENT)
+        while end < len(a) and not _GAPS[a[end]]:
+            end += 1
+        s, n = _segment_names(a[at:end])
+        starts.append(s + at)
+        names.append(n)
+        at = end
+    begin = np.cumsum([0, *(len(r) + 1 for r in raw)], dtype=np.int64)
+    return np.concatenate(names), np.searchsorted(np.concatenate(starts), begin)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -63,10 +93,6 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def names_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_names.__getitem__, words), np.uint64, len(words))
-
-
 # --- recompression --------------------------------------------------------------------
 
 
@@ -163,9 +189,7 @@ def anchors(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    parts = [names_of(split_words(t)) for t in batch.column("text").to_pylist()]
-    first = np.cumsum([0, *map(len, parts)], dtype=np.int64)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), first
+    return word_names(batch.column("text").to_pylist())
 
 
 def _anchor_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -217,25 +241,18 @@ def _cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def repeated_windows(docs: DataFrame, keep_for: str = "call") -> DataFrame:
     """(doc_id, key, starts): windows of each text that also start in a smaller doc_id."""
-    spark = docs.sparkSession
     known = docs.where("doc_id is not null")
     found = lambda: map_batches(known.select("doc_id", "text"), _anchor_batch, "anchor long, doc_id long, range long")
     shared = found().groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
     shared = materialize(shared.select("anchor"), "anchors", keep_for)
-    free_shuffles(spark)
     ranges = found().join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("range").alias("ranges"))  # bounded by a text
     ranges = materialize(ranges, "ranges", keep_for)
-    free_shuffles(spark)
     windows = map_batches(known.join(ranges, "doc_id"), _window_batch, "h long, g int, doc_id long, key int, p int")
     windows = materialize(windows, "windows", keep_for)
-    free_shuffles(spark)
     least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     least = materialize(least, "least", keep_for)
-    free_shuffles(spark)
     hit = windows.join(least, ["h", "g"]).where("lo < doc_id")
-    out = materialize(hit.groupBy("doc_id", "key").agg(F.collect_set("p").alias("starts")), "starts", keep_for)
-    free_shuffles(spark)
-    return out
+    return materialize(hit.groupBy("doc_id", "key").agg(F.collect_set("p").alias("starts")), "starts", keep_for)
 
 
 def dedup(docs: DataFrame, keep_for: str = "call") -> DataFrame:
