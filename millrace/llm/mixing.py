@@ -71,7 +71,7 @@ def shard_counts(owed: list[int], seed: int = SEED) -> np.ndarray:
             take += np.minimum(rng.multinomial(short, open_ / open_.sum()), open_)
         rows.append(take)
         left = left - take
-    return np.array(rows, np.int64).reshape(-1, len(owed))
+    return np.array(rows, np.int64).reshape(len(rows), len(owed))
 
 
 def permuted(index: Column, n: Column, key: Column) -> Column:
