@@ -135,12 +135,16 @@ def pairs(x: _Symbols, seed: int) -> tuple[_Symbols, np.ndarray]:
     return _Symbols(name[keep], x.s[keep], e[keep], cs[keep], ce[keep], x.doc[keep]), first[keep]
 
 
-def _offer(best: np.ndarray, x: _Symbols, which: np.ndarray) -> None:
-    """Offer symbols to every window that holds their whole context; longer symbols win."""
-    span = (x.e - x.s).astype(np.int64)
+def _offer(best: np.ndarray, total: np.ndarray, x: _Symbols, which: np.ndarray) -> None:
+    """Offer symbols to every window that holds their whole context; longer symbols win.
+
+    The anchor is named after all words of the context, which the window holds anyway: that
+    makes it far rarer than the symbol and as consistent. ``total`` are running sums of names.
+    """
     which = which & (x.ce - x.cs <= WINDOW)
-    cs, ce, span, name = x.cs[which], x.ce[which], span[which], x.name[which]
-    rank = np.minimum(span, 4).astype(np.uint64) << np.uint64(60) | mix(name) >> np.uint64(4)
+    cs, ce, span = x.cs[which], x.ce[which], (x.e - x.s)[which]
+    name = mix((total[ce] - total[cs]) * _powers_to(len(total))[1][cs] + (ce - cs).astype(np.uint64) * _C)
+    rank = np.minimum(span, 4).astype(np.uint64) << np.uint64(60) | name >> np.uint64(4)
     for back in range(WINDOW):
         p = cs - back
         ok = (p >= 0) & (p >= ce - WINDOW)
@@ -169,12 +173,13 @@ def anchors(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     doc = np.repeat(np.arange(len(size)), size)
     best = np.zeros(len(names), np.uint64)
     if len(names):
+        total = np.r_[np.uint64(0), np.cumsum(names * _powers_to(len(names) + 1)[0][: len(names)])]
         x = runs(names, doc)
-        _offer(best, x, x.e - x.s > 1)
-        _offer(best, *pairs(x, ROUNDS + 1))  # a second division, for windows the first gives no pair
+        _offer(best, total, x, x.e - x.s > 1)
+        _offer(best, total, *pairs(x, ROUNDS + 1))  # a second division, for windows the first gives no pair
         for r in range(ROUNDS):
             x, new = pairs(x, r + 1)
-            _offer(best, x, new)
+            _offer(best, total, x, new)
     at = np.flatnonzero(np.arange(len(names)) + WINDOW <= np.repeat(first[1:], size))
     a = best[at]
     bare = np.flatnonzero(a == 0)
