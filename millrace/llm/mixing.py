@@ -37,7 +37,7 @@ REPEATS = 3
 SEED = 7
 ROUNDS = 12
 #: Documents of a prefix-sum group.
-RUN = 2000
+RUN = 256
 
 
 def targets(sizes: list[int]) -> list[float]:
