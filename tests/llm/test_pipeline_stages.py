@@ -1,5 +1,6 @@
 """The stages against what each alone should keep or change."""
 
+import random
 import re
 
 import corpus_pipeline
@@ -44,3 +45,31 @@ def test_empty_stages(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, str(tmp_path)), name, "test")
     assert docs.count() == 0
+
+
+def test_near_copies_by_five_word_shingles(spark):
+    """Copies with replaced words go while their 5-word shingles have Jaccard 0.8 or more, and stay below it."""
+    rng = random.Random(8)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, gone, stay = [], set(), set()
+    for i in range(40):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(200)]
+        rows.append((10 * i, " ".join(words)))
+        stay.add(10 * i)
+        for j, n in ((1, 1), (2, 2), (3, 4), (4, 12)):
+            copy = list(words)
+            for at in rng.sample(range(5, 195), n):
+                copy[at] = f"x{rng.randint(0, 10**6)}"
+            near = len(grams(words) & grams(copy)) / len(grams(words) | grams(copy)) >= 0.8
+            (gone if near else stay).add(10 * i + j)
+            rows.append((10 * i + j, " ".join(copy)))
+    assert len(gone) > 100
+    left = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == stay
+
+
+def test_near_copies_chain(spark):
+    """Two documents of a bucket that are each unlike its least row still meet."""
+    sets = spark.createDataFrame([(1, [1, 2]), (2, list(range(10, 30))), (3, list(range(11, 30)))], "node long, grams array<long>")
+    member = spark.createDataFrame([(7, n, 1) for n in (1, 2, 3)], "bucket long, node long, least long")
+    assert [tuple(r) for r in simhash.similar_links(member, sets, "test").collect()] == [(3, 2)]
