@@ -1,9 +1,10 @@
 """PII spans: fixed patterns, and contextual patterns bootstrapped from them.
 
 Base kinds follow fixed expressions; whatever fails its check is dropped. Every other
-token that looks like an identifier is a candidate instance, and its lexical context (the
-two tokens before it, with base matches and long digit runs abstracted, plus its shape) is a
-pattern. Seed entities are the base matches and the tokens of ``SEEDS``. Spark scores the
+token that looks like an identifier is a candidate instance. It has two patterns: its lexical
+context (the three words or marks before it), which instances of any shape share, and the same
+context with its shape. Seed entities are the tokens of ``SEEDS`` and the base matches, which
+enter the graph with their lexical contexts as known instances. Spark scores the
 pattern-instance graph for ``ROUNDS`` rounds: a pattern's confidence is the share of its
 distinct instances that are known, shrunk by ``PRIOR``; instances of patterns with at least
 ``SUPPORT`` known instances and ``CONFIDENCE`` become known, and so on. Candidates in the
@@ -100,20 +101,30 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", "".join("9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else c for c in token))[:12]
 
 
-def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, pattern, instance, seed) of identifier-like tokens outside base spans."""
+def _context(text: str, a: int) -> str:
+    return " ".join(CONTEXT.findall(text[max(0, a - REACH) : a].lower())[-3:])
+
+
+def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int | None, int | None, str, str, bool]]:
+    """(start, end, pattern, instance, seed) of identifier-like tokens outside base spans, each under
+    both its patterns; base matches come without a place, as seeds of their contexts alone."""
     out = []
+    end = 0
+    for _, a, b in sorted(base, key=lambda s: (s[1], -s[2])):
+        if a >= end and (before := _context(text, a)):
+            out.append((None, None, before, text[a:b], True))
+        end = max(end, b)
     taken = sorted((a, b) for _, a, b in base)
     for m in TOKEN.finditer(text):
         a, b = m.span()
         if sum(c.isdigit() for c in m[0]) < 3 or any(x < b and a < y for x, y in taken):
             continue
-        before = CONTEXT.findall(text[max(0, a - REACH) : a].lower())[-3:]
+        before = _context(text, a)
         if not before:
             continue
         seed = bool(SEEDS.match(m[0]))
         kind = "hex" if re.fullmatch(r"[0-9a-f]+", m[0]) and len(m[0]) >= 16 else shape(m[0])
-        out.append((a, b, " ".join(before) + " <" + kind + ">", m[0], seed))
+        out += [(a, b, pattern, m[0], seed) for pattern in (before, f"{before} <{kind}>")]
     return out
 
 
@@ -155,7 +166,7 @@ def find(docs: DataFrame, keep_for: str = "call") -> DataFrame:
     """(rid, doc_id, base, extra): the spans of each (rid, doc_id, text) row; rid is unique."""
     scanned = materialize(map_batches(docs.select("rid", F.col("doc_id").cast("long").alias("doc_id"), "text"), _scan, SCAN), "scan", keep_for)
     cands = scanned.where("size(cand) > 0").select("rid", F.explode("cand").alias("c")).select("rid", "c.*")
-    hits = cands.join(accepted_patterns(cands.select("pattern", "instance", "seed"), keep_for), "pattern", "left_semi")
+    hits = cands.where("a is not null").join(accepted_patterns(cands.select("pattern", "instance", "seed"), keep_for), "pattern", "left_semi")
     extra = hits.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("extra"))  # bounded by one text
     return scanned.drop("cand").join(extra, "rid", "left")
 

@@ -255,6 +255,17 @@ def test_pii_bootstraps_contexts(spark):
     assert 100 in extra and set(range(30)) <= extra and not extra & set(range(200, 303))
 
 
+def test_pii_contexts_reach_other_shapes(spark):
+    """Base matches seed contexts, and instances found there lead to further shapes."""
+    rows = [(i, f"employee badge: +1 555 010 {1000 + i}") for i in range(60)]
+    rows += [(100 + i, f"employee badge: EMP-{20390 + i}") for i in range(12)] + [(200 + i, f"holder of pass EMP-{20390 + i}") for i in range(12)]
+    rows += [(300, "holder of pass X1234567")] + [(400 + i, f"part number is {10**6 + i}") for i in range(20)]
+    df = spark.createDataFrame([(i, i, t) for i, t in rows], "rid long, doc_id long, text string")
+    extra = {r["doc_id"]: [(s["a"], s["b"]) for s in r["extra"]] for r in pii.find(df).where("extra is not null").collect()}
+    assert set(extra) == {*range(100, 112), *range(200, 212), 300}
+    assert extra[100] == [(16, 25)] and extra[300] == [(15, 23)]
+
+
 def test_language(spark, sf, rows):
     got = langid.query(spark, sf).collect()
     assert len(got) == len(rows)
