@@ -67,25 +67,37 @@ _tokenizer = None
 
 
 def _load():
-    """The byte-level BPE, once per worker; both files hold one vocabulary."""
+    """The byte-level BPE, once per worker; both files hold one vocabulary.
+
+    Only the json holds added tokens, which ``tokenizers`` finds in any text, so a text with one
+    of them is encoded by that library and file.
+    """
     global _tokenizer
     if _tokenizer is None:
+        import json
         import re
 
         import public_tokenizers as public
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(public.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encode = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        _tokenizer = encode, _Words(encode), re.compile(r"\s ").search
+        with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f)["added_tokens"]]
+        holds = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
+        whole = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+        _tokenizer = encode, _Words(encode), re.compile(r"\s ").search, holds, whole
     return _tokenizer
 
 
 def token_bytes(text: str | None) -> bytes:
     """Little-endian unsigned 32-bit ids of a whole text, then id 1."""
-    encode, memo, odd = _load()
+    encode, memo, odd, holds, whole = _load()
     text, end = text or "", array.array("I", [END]).tobytes()
+    if holds(text):
+        return array.array("I", whole.encode(text, add_special_tokens=False).ids).tobytes() + end
     if odd(text):
         return array.array("I", encode(text)).tobytes() + end
     head, *rest = text.split(" ")

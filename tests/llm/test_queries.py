@@ -139,6 +139,14 @@ def test_packing(spark, sf, rows):
     assert len(seq) <= -(-total // 2048) * 1.02 + 1
 
 
+def test_added_tokens_keep_their_id():
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = lambda t: np.frombuffer(packing.token_bytes(t), "<u4").tolist()
+    assert ids("a <|endoftext|> b") == [64, 220, 50256, 275, 1]
+    for text in ("<|endoftext|>", "x<|endoftext|><|endoftext|>  y z", "<|endoftext|", "one two  three <|endoftext|>\n"):
+        assert ids(text) == [*tok.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_cutting_stock_covers_demand():
     rng = random.Random(1)
     for _ in range(5):
