@@ -38,6 +38,8 @@ ROUNDS = 3
 #: Bytes named at once.
 SEGMENT = 1 << 21
 FAR = 1 << 40
+#: Windows that one packed range can count; a longer run of one anchor becomes several ranges.
+RANGE = (1 << 20) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
@@ -197,8 +199,18 @@ def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return word_names(batch.column("text").to_pylist())
 
 
+def _split(a: np.ndarray, doc: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The runs of ``anchors`` with none longer than ``RANGE``."""
+    if not len(n) or n.max() <= RANGE:
+        return a, doc, p, n
+    parts = -(-n // RANGE)
+    row = np.repeat(np.arange(len(n)), parts)
+    skip = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * RANGE
+    return a[row], doc[row], p[row] + skip, np.minimum(n[row] - skip, RANGE)
+
+
 def _anchor_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    a, doc, p, n = anchors(*_named(batch))
+    a, doc, p, n = _split(*anchors(*_named(batch)))
     ids = batch.column("doc_id").take(pa.array(doc))
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), ids, pa.array(p << 20 | n)], ["anchor", "doc_id", "range"])
 
@@ -208,7 +220,7 @@ def _window_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     at, row = [], []
     for i, packed in enumerate(batch.column("ranges").to_pylist()):
         for r in packed:
-            p, n = r >> 20, r & 0xFFFFF
+            p, n = r >> 20, r & RANGE
             n = min(n, int(first[i + 1] - first[i]) - WINDOW + 1 - p)
             if n > 0:
                 at.append(np.arange(p, p + n))

@@ -61,6 +61,14 @@ def test_anchor_depends_on_the_window_alone():
         assert len(seen) == 1
 
 
+def test_long_run_of_one_word(spark):
+    """A run of more windows than one packed range counts is removed whole."""
+    n = 1_200_012
+    df = spark.createDataFrame([(1, "a " * n), (2, "a " * n)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring.dedup(df).collect()}
+    assert got == {1: (n, 0), 2: (n, n)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.dedup(df).count() == 0
