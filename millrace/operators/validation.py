@@ -442,17 +442,15 @@ def isolation_forest_detector(df, *, columns=(), contamination=0.05, random_stat
 
 @operator("validation.pca_detector", "dataset:Dataset", DETECT_OUT)
 def pca_detector(df, *, columns=(), n_components=0, contamination=0.05, random_state=42):
-    """Reconstruction error of the leading components (0: 95 % of the variance), as plain columns."""
+    """Reconstruction error of the leading components (0: 95 % of the variance)."""
 
     def fit(scaled, used):
         mean, vectors, values, total = principal_axes(scaled, used, len(used))
         k = n_components or int(np.searchsorted(np.cumsum(values) / max(total, 1e-300), 0.95) + 1)
         keep = vectors[:, : min(k, len(used))]
         rest = np.eye(len(used)) - keep @ keep.T
-        stat = _scaling(df, used)
-        x = [_scaled(c, stat[c]) - F.lit(float(mean[i])) for i, c in enumerate(used)]
-        errors = [sum((x[j] * F.lit(float(rest[i, j])) for j in range(len(used))), F.lit(0.0)) for i in range(len(used))]
-        return sum((e * e for e in errors), F.lit(0.0)) / len(used)
+        mean = np.array(mean, float)
+        return lambda x: (((x - mean) @ rest) ** 2).mean(1)
 
     return _detect(df, columns, fit, contamination, False)
 

@@ -895,16 +895,19 @@ def _(s, sf):
 
 
 def embedded(s, sf) -> DataFrame:
+    """One column for every element of the longest embedding."""
     e = table(s, sf, "embeddings", "vec_id")
-    return e.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(6)), F.col("label").cast("string").alias("class"), RID)
+    size = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(size)), F.col("label").cast("string").alias("class"), RID)
 
 
-VEC = [f"e{i}" for i in range(6)]
+def elements(e: DataFrame) -> list[str]:
+    return [c for c in e.columns if c not in ("vec_id", "class", RID)]
 
 
 def _features(s, sf):
     e = embedded(s, sf)
-    return feature.select(e, columns=VEC), data.labels(e, column="class")
+    return feature.select(e, columns=elements(e)), data.labels(e, column="class")
 
 
 MODELS = {
@@ -978,12 +981,14 @@ for _n in ("knn_detector", "isolation_forest_detector", "dbscan_detector", "pca_
 
     @query(_n)
     def _(s, sf, n=_n, p=_p):
-        return keyed(getattr(validation, n)(embedded(s, sf), columns=VEC, **p)["prediction"], "vec_id").select("vec_id", "score", "is_anomaly")
+        e = embedded(s, sf)
+        return keyed(getattr(validation, n)(e, columns=elements(e), **p)["prediction"], "vec_id").select("vec_id", "score", "is_anomaly")
 
 
 @query("kmeans")
 def _(s, sf):
-    return keyed(validation.kmeans(embedded(s, sf), columns=VEC, n_clusters=4)["prediction"], "vec_id")
+    e = embedded(s, sf)
+    return keyed(validation.kmeans(e, columns=elements(e), n_clusters=4)["prediction"], "vec_id")
 
 
 # --- evaluation -----------------------------------------------------------------------

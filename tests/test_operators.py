@@ -10,6 +10,7 @@ from millrace.functions.expr import compile_expression
 from millrace.functions.stats import STATISTICS
 from millrace.operators import data, evaluation, explore, feature, validation, visual
 from millrace.operators.base import OPERATORS, RID, OperatorError
+from millrace.plans import catalog
 
 
 def frame(spark, schema, rows):
@@ -209,3 +210,12 @@ def test_positions_without_a_global_window(spark, monkeypatch):
     assert position.nth_smallest(df, F.col("v"), 3001) is None
     placed = position.positioned(spark.range(100).select((F.col("id") * 3).alias("k")), "k", "p").orderBy("k").collect()
     assert [r["p"] for r in placed] == list(range(100))
+
+
+def test_model_queries_take_whole_embeddings(spark, tmp_path):
+    """Rows that differ only in the last of nine elements are told apart."""
+    rows = [(i, [float(i % 3)] * 8 + [100.0 if i == 7 else float(i % 2)], i % 2) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert catalog.elements(catalog.embedded(spark, str(tmp_path))) == [f"e{i}" for i in range(9)]
+    score = {r["vec_id"]: r["score"] for r in catalog.QUERIES["knn_detector"](spark, str(tmp_path)).collect()}
+    assert max(score, key=score.get) == 7
