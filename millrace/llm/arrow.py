@@ -6,20 +6,28 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-#: Rows of an Arrow batch at most, so that a batch of long texts stays small.
-ROWS = 1000
+#: Rows and bytes that a function gets at once at most; a longer row comes alone.
+ROWS, BYTES = 1000, 1 << 23
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``mapInArrow`` with one output batch for each input batch of at most ``ROWS`` rows."""
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in order, cut into parts within ``ROWS`` and ``BYTES``."""
+    if batch.num_rows <= ROWS and (batch.num_rows <= 1 or batch.nbytes <= BYTES):
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from parts(batch.slice(0, half))
+        yield from parts(batch.slice(half))
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with one output batch for each part of an input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                yield fn(batch.slice(at, ROWS))
+            for part in parts(batch):
+                yield fn(part)
 
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     return df.mapInArrow(run, schema)

@@ -1,31 +1,39 @@
 """Substring dedup by recompression.
 
-Words get 64-bit names. Runs of one word become one symbol; then rounds of pair compression
-split the symbols by a hash bit into left and right ones and name every left-right pair. Names
-are hashes of what they stand for, so equal substrings get equal names in every document and
-executor without a dictionary. A symbol also carries its context: the word range that fixes
-that the symbol appears there. A symbol whose context lies inside a window of ``WINDOW`` words
-appears in every copy of that window (equal substrings have consistent interior symbols), so
-each window takes the best such symbol as its anchor: a window can repeat in another document
-only if its anchor does. (A window with none, such as one long run, anchors itself.)
-
-Spark steps, all linear in the words: anchors are pre-aggregated to those that two documents
-share; their windows alone are hashed (96 bits) and pre-aggregated to the least doc_id;
-windows that also start in a smaller doc_id give the words to remove. Shared tables are
+Words get names of two 64-bit lanes. Recompression replaces, level by level, maximal runs of one
+symbol by one symbol, then splits the symbols by a hash bit into left and right ones and names
+every left-right pair. Names are hashes of what they stand for, so all executors name equal
+runs and pairs alike, without a dictionary, and equal substrings get equal interior symbols.
+
+1. Long repeats. Symbols grow until they hold ``LEVEL`` words. Each one with its right neighbour
+   is a high-level symbol; a Spark round groups them by name over the corpus (128 bits). One
+   whose name a smaller doc_id also has verifies its whole stretch: all windows in it repeat.
+2. The rest, which is the edges of long repeats, short repeats, and the first document of each:
+   a symbol of the first levels carries its context, the word range that fixes that it appears
+   there. A symbol whose context lies inside a window of ``WINDOW`` words appears in every copy
+   of that window, so each window takes the best such symbol as its anchor and can repeat in
+   another document only if its anchor does. (A window with none anchors itself.) Only windows
+   whose anchors two documents share are named (128 bits) and meet by name.
+
+A window that step 1 settles needs no part in step 2: the smaller document still offers it there,
+or was itself settled by one smaller yet. Spark steps are linear in the words; shared tables are
 written out before they join back, so skewed keys can be split.
 
 Defined results: null text has no words; a null doc_id is smaller than none and larger than
-none, so nothing is removed for or by it; rows of one doc_id do not remove from each other;
-texts under 13 words stay whole; empty tables give empty results.
+none, so nothing is removed for or by it; rows of one doc_id do not remove from each other, and
+repeated rows are judged alike; texts under 13 words stay whole; a text of any length is one
+row's arrays (about 100 bytes a word); ties do not arise, as the least doc_id decides; further
+columns of any name are ignored; empty tables give empty results. Rows of one doc_id are told
+apart by a 64-bit hash of their text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +42,16 @@ from millrace.llm.arrow import map_batches
 from millrace.plans.durable import materialize
 
 WINDOW = 13
+#: Levels that give anchors.
 ROUNDS = 3
-#: Bytes named at once.
-SEGMENT = 1 << 21
+#: Words at which a symbol of the long repeats stops to grow, and levels after which all stop.
+LEVEL, LEVELS = 24, 48
+#: Bytes named at once; bytes from which a word is named by its digest.
+SEGMENT, LONG = 1 << 21, 1 << 12
 FAR = 1 << 40
-#: Windows that one packed range can count; a longer run of one anchor becomes several ranges.
-RANGE = (1 << 20) - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
+_BASE = 0x5851F42D4C957F2D
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,13 +60,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-# Names of words: a polynomial over their bytes, from running sums over a whole buffer.
-_GAPS = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _A) | np.uint64(1)
-_BASE = 0x5851F42D4C957F2D
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
 def _powers_to(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, kept for the largest n so far."""
     if len(_powers[0]) < n:
@@ -64,30 +68,51 @@ def _powers_to(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def _segment_names(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, name) of each word of a byte buffer that begins and ends at a gap or an edge."""
-    gap = np.r_[True, _GAPS[a], True]
-    s, e = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    power, inverse = _powers_to(len(a))
-    total = np.r_[np.uint64(0), np.cumsum(_BYTES[a] * power[: len(a)])]
-    return s, mix((total[e] - total[s]) * inverse[np.minimum(s, len(a) - 1)] + (e - s).astype(np.uint64) * _C)
+# --- words ----------------------------------------------------------------------------
 
+_GAPS = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: Keeps the first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit names of all words of the texts, and where each text starts among them."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    a = np.frombuffer(b" ".join(raw), np.uint8)
-    starts, names, at = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
-    while at < len(a):
-        end = min(len(a), at + SEGMENT)
-        while end < len(a) and not _GAPS[a[end]]:
+
+def _segment_names(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, name, twin) of each word of bytes that begin and end at a gap or an edge.
+
+    Each lane is a chain over the word's eight-byte blocks, one invertible step for each block.
+    """
+    gap = np.r_[True, _GAPS[np.frombuffer(raw, np.uint8)], True]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    s, size = edge[::2], edge[1::2] - edge[::2]
+    padded = raw + bytes(8)
+    blocks = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+    one, two = size.astype(np.uint64) * _C, size.astype(np.uint64) * _B + _A
+    live, k = np.flatnonzero(size < LONG), 0
+    while len(live):
+        x = blocks[s[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]
+        one[live] = mix((one[live] ^ x) * _A)
+        two[live] = mix(two[live] ^ (x * _C))
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size >= LONG):
+        one[i], two[i] = np.frombuffer(hashlib.blake2b(raw[s[i] : s[i] + size[i]], digest_size=16).digest(), np.uint64)
+    return s, one, two
+
+
+def word_names(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both lanes of the names of all words of the texts, and where each text starts among them."""
+    each = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = b" ".join(each)
+    parts, at = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))], 0
+    while at < len(raw):
+        end = min(len(raw), at + SEGMENT)
+        while end < len(raw) and not _GAPS[raw[end]]:
             end += 1
-        s, n = _segment_names(a[at:end])
-        starts.append(s + at)
-        names.append(n)
+        s, one, two = _segment_names(raw[at:end])
+        parts.append((s + at, one, two))
         at = end
-    begin = np.cumsum([0, *(len(r) + 1 for r in raw)], dtype=np.int64)
-    return np.concatenate(names), np.searchsorted(np.concatenate(starts), begin)
+    starts, one, two = map(np.concatenate, zip(*parts))
+    begin = np.cumsum([0, *(len(r) + 1 for r in each)], dtype=np.int64)
+    return one, two, np.searchsorted(starts, begin)
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -95,7 +120,54 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-# --- recompression --------------------------------------------------------------------
+# --- recompression: long repeats ------------------------------------------------------
+
+
+def high_symbols(one: np.ndarray, two: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(name, twin, document, first word, words) of each high-level symbol.
+
+    Two neighbours may pair while one of them holds fewer than ``LEVEL`` words. The symbols that
+    are left cover each document; each is returned together with its right neighbour.
+    """
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    s = np.arange(len(one))
+    e = s + 1
+    for level in range(LEVELS):
+        same = doc[1:] == doc[:-1]
+        again = same & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+        if again.any():  # runs
+            at = np.flatnonzero(np.r_[True, ~again])
+            end = np.r_[at[1:], len(one)]
+            many, e = end - at > 1, e[end - 1]
+            k = (end - at).astype(np.uint64)
+            one, two = np.where(many, mix(one[at] + k * _A), one[at]), np.where(many, mix(two[at] ^ k * _C), two[at])
+            s, doc = s[at], doc[at]
+            same = doc[1:] == doc[:-1]
+        small = e - s < LEVEL
+        open_ = same & (small[1:] | small[:-1])
+        if not open_.any():
+            break
+        left = (mix(one ^ np.uint64(level + 1) * _A) & np.uint64(1)).astype(bool)
+        f = np.flatnonzero(open_ & left[:-1] & ~left[1:])
+        one, two, e = one.copy(), two.copy(), e.copy()
+        one[f] = mix(one[f] * _C + one[f + 1] + np.uint64(level))
+        two[f] = mix(two[f] * _A + two[f + 1] * _B + np.uint64(level))
+        e[f] = e[f + 1]
+        keep = np.ones(len(one), bool)
+        keep[f + 1] = False
+        one, two, s, e, doc = (x[keep] for x in (one, two, s, e, doc))
+    if not len(one):
+        return one, two, doc, s, s
+    nxt = np.r_[doc[1:] == doc[:-1], False]
+    j = np.minimum(np.arange(len(one)) + 1, len(one) - 1)
+    a = np.where(nxt, mix(one * _A + one[j]), one)
+    b = np.where(nxt, mix(two * _C + two[j]), two)
+    size = np.where(nxt, e[j], e) - s
+    keep = (nxt | np.r_[True, doc[1:] != doc[:-1]]) & (size >= WINDOW)  # a last symbol alone is in the pair before
+    return a[keep], b[keep], doc[keep], (s - first[doc])[keep], size[keep]
+
+
+# --- recompression: anchors -----------------------------------------------------------
 
 
 class _Symbols:
@@ -155,21 +227,22 @@ def _offer(best: np.ndarray, total: np.ndarray, x: _Symbols, which: np.ndarray)
         np.maximum.at(best, p[ok], rank[ok])
 
 
-def window_names(names: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes (64 and 32 bits) of the windows that start at ``at``."""
+def window_names(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The name of each window that starts at ``at``: one lane from each lane of its words."""
     h, g = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
     for k in range(WINDOW):
-        x = names[at + k]
-        h = (h ^ x) * _A
+        h = (h ^ one[at + k]) * _A
         h ^= h >> np.uint64(29)
-        g = g * _B + (x ^ (x >> np.uint64(32)))
-    return mix(h), mix(g) >> np.uint64(32)
+        g = (g + two[at + k]) * _B
+        g ^= g >> np.uint64(32)
+    return mix(h), mix(g)
 
 
-def anchors(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(names: np.ndarray, first: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor, document, first window, windows) of each run of windows with one anchor.
 
-    ``first`` has the start of each document in ``names`` and, last, their number.
+    ``first`` has the start of each document in ``names`` and, last, their number; ``skip`` marks
+    the starts of windows that need none.
     """
     size = np.diff(first)
     doc = np.repeat(np.arange(len(size)), size)
@@ -182,11 +255,12 @@ def anchors(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for r in range(ROUNDS):
             x, new = pairs(x, r + 1)
             _offer(best, total, x, new)
-    at = np.flatnonzero(np.arange(len(names)) + WINDOW <= np.repeat(first[1:], size))
+    wanted = np.arange(len(names)) + WINDOW <= np.repeat(first[1:], size)
+    at = np.flatnonzero(wanted if skip is None else wanted & ~skip)
     a = best[at]
     bare = np.flatnonzero(a == 0)
     if len(bare):
-        a[bare] = window_names(names, at[bare])[0] >> np.uint64(4)
+        a[bare] = window_names(names, names, at[bare])[0] >> np.uint64(4)
     new = np.r_[True, (a[1:] != a[:-1]) | (at[1:] != at[:-1] + 1)] if len(a) else np.zeros(0, bool)
     s = np.flatnonzero(new)
     return a[s], doc[at[s]], at[s] - first[doc[at[s]]], np.diff(np.r_[s, len(a)])
@@ -194,88 +268,112 @@ def anchors(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 # --- on Spark -------------------------------------------------------------------------
 
+RANGES = "array<struct<p:int,n:int>>"
+
 
-def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _named(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return word_names(batch.column("text").to_pylist())
 
 
-def _split(a: np.ndarray, doc: np.ndarray, p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The runs of ``anchors`` with none longer than ``RANGE``."""
-    if not len(n) or n.max() <= RANGE:
-        return a, doc, p, n
-    parts = -(-n // RANGE)
-    row = np.repeat(np.arange(len(n)), parts)
-    skip = (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * RANGE
-    return a[row], doc[row], p[row] + skip, np.minimum(n[row] - skip, RANGE)
+def _ranges(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, p, n) of a column of ranges; null has none."""
+    lists = batch.column(column)
+    row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+    p, n = (x.to_numpy().astype(np.int64) for x in lists.flatten().flatten())
+    return row, p, n
+
+
+def _covered(size: int, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Mask of the positions that a range [at, at + n) holds."""
+    change = np.zeros(size + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + n, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _out(batch: pa.RecordBatch, row: np.ndarray, **columns: pa.Array) -> pa.RecordBatch:
+    """``columns`` with the doc_id and key of the row that each entry belongs to."""
+    keys = {n: batch.column(n).take(pa.array(row)) for n in ("doc_id", "key")}
+    return pa.RecordBatch.from_pydict(columns | keys)
+
+
+def _symbol_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    a, b, doc, p, n = high_symbols(*_named(batch))
+    return _out(batch, doc, a=pa.array(a.view(np.int64)), b=pa.array(b.view(np.int64)), p=pa.array(p, pa.int32()), n=pa.array(n, pa.int32()))
 
 
 def _anchor_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    a, doc, p, n = _split(*anchors(*_named(batch)))
-    ids = batch.column("doc_id").take(pa.array(doc))
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), ids, pa.array(p << 20 | n)], ["anchor", "doc_id", "range"])
+    one, _, first = _named(batch)
+    row, p, n = _ranges(batch, "spans")
+    a, doc, p, n = anchors(one, first, _covered(len(one), first[row] + p, n - WINDOW + 1) if len(row) else None)
+    return _out(batch, doc, anchor=pa.array(a.view(np.int64)), p=pa.array(p, pa.int32()), n=pa.array(n, pa.int32()))
 
 
 def _window_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    names, first = _named(batch)
-    at, row = [], []
-    for i, packed in enumerate(batch.column("ranges").to_pylist()):
-        for r in packed:
-            p, n = r >> 20, r & RANGE
-            n = min(n, int(first[i + 1] - first[i]) - WINDOW + 1 - p)
-            if n > 0:
-                at.append(np.arange(p, p + n))
-                row.append(np.full(n, i))
-    at, row = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, row))
-    h, g = window_names(names, first[row] + at)
-    take = lambda n: batch.column(n).take(pa.array(row))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32)), take("doc_id"), take("key"), pa.array(at.astype(np.int32))],
-        ["h", "g", "doc_id", "key", "p"],
-    )
+    one, two, first = _named(batch)
+    row, p, n = _ranges(batch, "ranges")
+    each = np.repeat(np.arange(len(row)), n)
+    p = p[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    row = row[each]
+    h, g = window_names(one, two, first[row] + p)
+    return _out(batch, row, h=pa.array(h.view(np.int64)), g=pa.array(g.view(np.int64)), p=pa.array(p, pa.int32()))
 
 
 def _cut_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    n, removed, digest, kept_text = [], [], [], []
-    for text, starts in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist()):
+    """Counts and digest of the words that no repeated stretch or window holds."""
+    n, removed, digest = [], [], []
+    columns = (batch.column(x).to_pylist() for x in ("text", "spans", "starts"))
+    for text, spans, starts in zip(*columns):
         w = split_words(text)
-        if starts:
-            gone = np.zeros(len(w) + 1, np.int64)
-            s = np.array(starts)
-            np.add.at(gone, s, 1)
-            np.add.at(gone, s + WINDOW, -1)
-            keep = np.cumsum(gone[:-1]) == 0
-            kept = [x for x, k in zip(w, keep) if k]
-        else:
-            kept = w
-        joined = b" ".join(kept)
+        kept = w
+        if spans or starts:
+            gone = [(r["p"], r["n"]) for r in spans or []] + [(p, WINDOW) for p in starts or []]
+            at, size = np.array(gone, np.int64).T
+            kept = [x for x, cut in zip(w, _covered(len(w), at, size)) if not cut]
         n.append(len(w))
         removed.append(len(w) - len(kept))
-        digest.append(hashlib.sha256(joined).hexdigest())
-        kept_text.append(joined)
+        digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
     cols = [pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def repeated_windows(docs: DataFrame, keep_for: str = "call") -> DataFrame:
-    """(doc_id, key, starts): windows of each text that also start in a smaller doc_id."""
-    known = docs.where("doc_id is not null")
-    found = lambda: map_batches(known.select("doc_id", "text"), _anchor_batch, "anchor long, doc_id long, range long")
-    shared = found().groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = materialize(shared.select("anchor"), "anchors", keep_for)
-    ranges = found().join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("range").alias("ranges"))  # bounded by a text
+def _least(df: DataFrame, by: list[str]) -> DataFrame:
+    """The names of at least two doc_ids and the least of those."""
+    return df.groupBy(*by).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
+
+
+def repeated_spans(known: DataFrame, keep_for: str = "call") -> DataFrame:
+    """(doc_id, key, spans): stretches of high-level symbols that a smaller doc_id also has."""
+    symbols = map_batches(known, _symbol_batch, "a long, b long, p int, n int, doc_id long, key long")
+    symbols = materialize(symbols, "symbols", keep_for)
+    least = materialize(_least(symbols, ["a", "b"]), "shared", keep_for)
+    hit = symbols.join(least, ["a", "b"]).where("lo < doc_id")
+    return materialize(hit.groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans", keep_for)  # bounded by a text
+
+
+def repeated_windows(known: DataFrame, spans: DataFrame, keep_for: str = "call") -> DataFrame:
+    """(doc_id, key, starts): windows outside ``spans`` that also start in a smaller doc_id."""
+    at = ["doc_id", "key"]
+    found = map_batches(known.join(spans, at, "left").select("text", "spans", *at), _anchor_batch, "anchor long, p int, n int, doc_id long, key long")
+    found = materialize(found, "anchors", keep_for)
+    shared = materialize(_least(found, ["anchor"]).select("anchor"), "shared", keep_for)
+    ranges = found.join(shared, "anchor", "left_semi").groupBy(*at).agg(F.collect_set(F.struct("p", "n")).alias("ranges"))  # bounded by a text
     ranges = materialize(ranges, "ranges", keep_for)
-    windows = map_batches(known.join(ranges, "doc_id"), _window_batch, "h long, g int, doc_id long, key int, p int")
+    windows = map_batches(known.join(ranges, at).select("text", "ranges", *at), _window_batch, "h long, g long, p int, doc_id long, key long")
     windows = materialize(windows, "windows", keep_for)
-    least = windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    least = materialize(least, "least", keep_for)
+    least = materialize(_least(windows, ["h", "g"]), "least", keep_for)
     hit = windows.join(least, ["h", "g"]).where("lo < doc_id")
-    return materialize(hit.groupBy("doc_id", "key").agg(F.collect_set("p").alias("starts")), "starts", keep_for)
+    return materialize(hit.groupBy(*at).agg(F.collect_set("p").alias("starts")), "starts", keep_for)
 
 
 def dedup(docs: DataFrame, keep_for: str = "call") -> DataFrame:
     """Counts and digest of what stays of each text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("key"), "text")
-    cut = docs.join(repeated_windows(docs, keep_for), ["doc_id", "key"], "left").select("doc_id", "text", "starts")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
+    known = docs.where("doc_id is not null")
+    spans = repeated_spans(known, keep_for)
+    starts = repeated_windows(known, spans, keep_for)
+    at = ["doc_id", "key"]
+    cut = docs.join(spans, at, "left").join(starts, at, "left").select("doc_id", "text", "spans", "starts")
     return map_batches(cut, _cut_batch, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 

@@ -72,3 +72,43 @@ def test_long_run_of_one_word(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert substring.dedup(df).count() == 0
+
+
+def test_words_that_differ_inside(spark):
+    """Two long words of the same letters, one the other's complement, are two words."""
+    rest = " ".join(f"w{i}" for i in range(12))
+    for k in (3, 10, 12):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << k))
+        b = a.translate(str.maketrans("ab", "ba"))
+        docs = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}"), (4, f"x {rest} {b}")]
+        got = sorted(tuple(r) for r in substring.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+        assert got == sorted(brute(docs))
+
+
+def test_names_are_of_whole_words():
+    rng = random.Random(6)
+    words = list({"".join(rng.choice("abé") for _ in range(rng.choice([1, 7, 8, 9, 16, 17, 4095, 4096, 5000]))) for _ in range(300)})
+    text = "\t ".join(words)
+    one, two, first = substring.word_names([None, text, "", text])
+    n = len(words)
+    assert first.tolist() == [0, 0, n, n, 2 * n]
+    assert len(set(one.tolist())) == len(set(two.tolist())) == n and (one[:n] == one[n:]).all()
+
+
+def test_long_repeats(spark):
+    """Passages of hundreds of words, copies, periodic texts and clashing column names."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 4)
+    passages = [[word() for _ in range(rng.randint(13, 400))] for _ in range(6)] + [["a", "b"] * 90, ["a", "b", "c"] * 70]
+    docs = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(passages)
+            a = rng.randint(0, len(p) // 2)
+            parts += p[a:] if rng.random() < 0.5 else [*p, *(word() for _ in range(rng.randint(0, 30)))]
+        docs.append((i // 2, "\n".join(parts)))
+    docs += docs[10:20]
+    df = spark.createDataFrame([(d, t, 1, "k", 2, "a b") for d, t in docs], "doc_id long, text string, p int, key string, n int, `a b.c` string")
+    key = lambda r: tuple(map(str, r))
+    assert sorted((tuple(r) for r in substring.dedup(df).collect()), key=key) == sorted(brute(docs), key=key)
