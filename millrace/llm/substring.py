@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import words as W
 from millrace.llm.arrow import map_batches
-from millrace.plans.durable import materialize
+from millrace.plans.durable import materialize, release
 
 WINDOW = 13
 #: Levels that give anchors.
@@ -344,26 +344,34 @@ def _least(df: DataFrame, by: list[str]) -> DataFrame:
 
 def repeated_spans(known: DataFrame, keep_for: str = "call") -> DataFrame:
     """(doc_id, key, spans): stretches of high-level symbols that a smaller doc_id also has."""
+    spark, step = known.sparkSession, f"{keep_for}.spans"
     symbols = map_batches(known, _symbol_batch, "a long, b long, p int, n int, doc_id long, key long")
-    symbols = materialize(symbols, "symbols", keep_for)
-    least = materialize(_least(symbols, ["a", "b"]), "shared", keep_for)
+    symbols = materialize(symbols, "symbols", step)
+    least = materialize(_least(symbols, ["a", "b"]), "shared", step)
     hit = symbols.join(least, ["a", "b"]).where("lo < doc_id")
-    return materialize(hit.groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "n")).alias("spans")), "spans", keep_for)  # bounded by a text
+    spans = hit.groupBy("doc_id", "key").agg(F.collect_set(F.struct("p", "n")).alias("spans"))  # bounded by a text
+    spans = materialize(spans, "spans", keep_for)
+    release(spark, step)
+    return spans
 
 
 def repeated_windows(known: DataFrame, spans: DataFrame, keep_for: str = "call") -> DataFrame:
     """(doc_id, key, starts): windows outside ``spans`` that also start in a smaller doc_id."""
-    at = ["doc_id", "key"]
+    spark, step, at = known.sparkSession, f"{keep_for}.windows", ["doc_id", "key"]
     found = map_batches(known.join(spans, at, "left").select("text", "spans", *at), _anchor_batch, "anchor long, p int, n int, doc_id long, key long")
-    found = materialize(found, "anchors", keep_for)
-    shared = materialize(_least(found, ["anchor"]).select("anchor"), "shared", keep_for)
+    found = materialize(found, "anchors", step)
+    shared = materialize(_least(found, ["anchor"]).select("anchor"), "shared", step)
     ranges = found.join(shared, "anchor", "left_semi").groupBy(*at).agg(F.collect_set(F.struct("p", "n")).alias("ranges"))  # bounded by a text
-    ranges = materialize(ranges, "ranges", keep_for)
+    ranges = materialize(ranges, "ranges", f"{step}.ranges")
+    release(spark, step)
     windows = map_batches(known.join(ranges, at).select("text", "ranges", *at), _window_batch, "h long, g long, p int, doc_id long, key long")
-    windows = materialize(windows, "windows", keep_for)
-    least = materialize(_least(windows, ["h", "g"]), "least", keep_for)
+    windows = materialize(windows, "windows", step)
+    release(spark, f"{step}.ranges")
+    least = materialize(_least(windows, ["h", "g"]), "least", step)
     hit = windows.join(least, ["h", "g"]).where("lo < doc_id")
-    return materialize(hit.groupBy(*at).agg(F.collect_set("p").alias("starts")), "starts", keep_for)
+    starts = materialize(hit.groupBy(*at).agg(F.collect_set("p").alias("starts")), "starts", keep_for)
+    release(spark, step)
+    return starts
 
 
 def dedup(docs: DataFrame, keep_for: str = "call") -> DataFrame:
