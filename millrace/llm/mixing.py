@@ -15,7 +15,10 @@ corpus stays distributed, and prefix sums run over hashed sub-groups, so a sourc
 third of all rows is split. All draws are seeded: reruns agree.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of
-its own; repeated rows are placed each; empty input gives an empty result.
+its own; repeated rows are placed each, next to one another; ties of the hashed order go by row
+number, which tells only rows of one doc_id and text apart; a text of any length is a run of
+blocks; further columns of any name are kept by the stage, ignored by the query; empty input
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,7 +90,8 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
 
 
 def place(docs: DataFrame, keep_for: str = "call") -> tuple[DataFrame, DataFrame, dict]:
-    """(documents with skey and start, slots, plan). ``docs`` has source, size and a unique ``rid``."""
+    """(documents with skey and start, slots, plan). ``docs`` has source, size, a unique ``rid`` and ``h``,
+    a hash of what a document says: documents lie in its order, whatever their layout in files is."""
     spark = docs.sparkSession
     skey = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
     sized = docs.withColumn("skey", skey)
@@ -107,10 +111,10 @@ def place(docs: DataFrame, keep_for: str = "call") -> tuple[DataFrame, DataFrame
     epoch = F.expr("k div blocks")
     slots = slots.select("shard", "skey", "k", epoch.alias("epoch"), permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.xxhash64("skey", epoch, F.lit(SEED))).alias("block"))
     groups = max(1, -(-sum(n for _, n in per.values()) // RUN))
-    sub = sized.where("size > 0").withColumn("sub", F.pmod(F.xxhash64("rid", F.lit(SEED)), F.lit(groups)))
+    sub = sized.where("size > 0").withColumn("sub", F.pmod(F.xxhash64("h", F.lit(SEED)), F.lit(groups)))
     base = sub.groupBy("skey", "sub").agg(F.sum("size").alias("n"))
     base = base.select("skey", "sub", (F.sum("n").over(Window.partitionBy("skey").orderBy("sub")) - F.col("n")).alias("base"))
-    at = Window.partitionBy("skey", "sub").orderBy("rid")
+    at = Window.partitionBy("skey", "sub").orderBy("h", "rid")
     start = F.col("base") + F.sum("size").over(at) - F.col("size")
     placed = sub.join(base, ["skey", "sub"]).withColumn("start", start).drop("sub", "base")
     return placed, slots, {"table": plan, "draws": draws}
@@ -124,18 +128,16 @@ def pieces(placed: DataFrame) -> DataFrame:
     return p.select("rid", "skey", "block", lo.alias("lo"), (F.least(F.col("size"), (F.col("block") + 1) * b - F.col("start")) - lo).alias("len"))
 
 
-def sizes(docs: DataFrame, *keep: str) -> DataFrame:
+def sizes(docs: DataFrame, *keep: str | Column) -> DataFrame:
     return docs.select(*keep, F.size(W.words(F.col("text"))).cast("long").alias("size"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = sizes(W.documents(spark, sf_dir, "doc_id", "source", "text"), "doc_id", "source")
+    docs = sizes(W.documents(spark, sf_dir, "doc_id", "source", "text"), "doc_id", "source", F.xxhash64("doc_id", "text").alias("h"))
     docs = materialize(docs.withColumn("rid", F.monotonically_increasing_id()), "sizes")
-    # the row number follows the file layout; what a rerun must agree on is the text order below
-    placed, slots, plan = place(docs.withColumn("rid", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id", "size", "rid")))
+    placed, slots, plan = place(docs)
     times = slots.groupBy("skey", "block").agg(F.count("*").alias("times"))
     got = pieces(placed).join(times, ["skey", "block"]).groupBy("rid").agg(F.sum(F.col("len") * F.col("times")).alias("taken"))
-    got = got.select(F.col("rid.rid").alias("rid"), "taken")
     per = spark.createDataFrame(plan["table"][["skey", "source_size", "target"]], "skey string, source_size long, target double")
     skey = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
     return docs.join(got, "rid", "left").withColumn("skey", skey).join(per, "skey", "left").select(
@@ -162,17 +164,11 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: one row per document and pass over its source, texts cut to the words taken."""
-    columns = docs.columns
-    rest = [c for c in columns if c != "text"]
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "text", F.struct(*rest).alias("row"))
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.xxhash64("doc_id", "text").alias("h"), "text", W.packed(rest).alias("row"))
     rows = materialize(rows.withColumn("size", F.size(W.words(F.col("text"))).cast("long")), "rows", "pipeline")
-    placed, slots, _ = place(rows.select("rid", F.col("row.source").alias("source"), "size"))
+    placed, slots, _ = place(rows.select("rid", "h", F.col("row.source").alias("source"), "size"))
     taken = pieces(placed).join(slots.select("skey", "block", "epoch"), ["skey", "block"])
     parts = taken.groupBy("rid", "epoch").agg(F.sort_array(F.collect_list(F.struct("lo", "len"))).alias("parts"))
     mixed = rows.join(parts, "rid").select("row", "text", "size", "parts")
-    kind = dict(mixed.dtypes)["row"]
-    out = map_batches(mixed, _cut, f"row {kind}, text string")
-    pick = {c: F.col("row")[c] for c in rest} | {"text": F.col("text")}
-    if "n_chars" in rest:
-        pick["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*(pick[c].alias(c) for c in columns))
+    return W.unpacked(map_batches(mixed, _cut, mixed.select("row", "text").schema), docs)

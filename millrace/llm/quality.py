@@ -177,7 +177,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they came."""
-    packed = docs.select(F.col("text"), F.col("lang"), F.col("source"), F.struct(*docs.columns).alias("__row"))
+    packed = docs.select(F.col("text"), F.col("lang"), F.col("source"), W.packed(docs.columns).alias("__row"))
     m = materialize(with_metrics(packed).drop("text"), "metrics", "pipeline")
     return judge(m).where("kept").select("__row.*")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: a word is a maximal run of characters other than these six.
@@ -20,3 +20,21 @@ def words(text: Column) -> Column:
 
 def documents(spark, sf_dir: str, *columns: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(names: list[str]) -> Column:
+    """The columns as one struct."""
+    return F.struct(*map(column, names))
+
+
+def unpacked(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from (row, text): all but the text from the struct, ``n_chars`` counted anew."""
+    pick = {c: F.col("row").getField(c) for c in like.columns if c != "text"} | {"text": F.col("text")}
+    if "n_chars" in pick:
+        pick["n_chars"] = F.length("text").cast(like.schema["n_chars"].dataType)
+    return rows.select(*(pick[c].alias(c) for c in like.columns))
