@@ -11,8 +11,10 @@ distinct instances that are known, shrunk by ``PRIOR``; instances of patterns wi
 final high-confidence patterns are returned as kind ``ctx``; base spans stay as they are,
 and a candidate that overlaps one is never added.
 
-Defined results: null text is empty; repeated rows return repeated rows; empty tables
-give empty results.
+Defined results: null text is empty; repeated rows return repeated rows; ties do not arise
+(a pattern is trusted or not); texts of any length are scanned once, in time linear in their
+length, and their spans are one row; further columns of any name are kept by the stage, ignored
+by the query; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ PRIOR = 1.0
 # The contract's expressions, and the shapes that seed the bootstrap.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: Groups are possessive and begin a run of digits: no other start or end can match, and long runs cost no square.
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Every numeric match lies inside one of these runs, which start where a match can start.
@@ -84,7 +87,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     for run in NUMERIC.finditer(text):
         a, b = run.span()
         for m in IP.finditer(text, a, b):
-            if all(int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in m[0].split(".")):
                 ip.append(("ip", *m.span()))
         for m in CARD.finditer(text, a, b):
             d = _digits(m[0])
@@ -109,15 +112,20 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int |
     """(start, end, pattern, instance, seed) of identifier-like tokens outside base spans, each under
     both its patterns; base matches come without a place, as seeds of their contexts alone."""
     out = []
-    end = 0
+    taken: list[list[int]] = []  # unions of overlapping base spans, in order
     for _, a, b in sorted(base, key=lambda s: (s[1], -s[2])):
-        if a >= end and (before := _context(text, a)):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+            continue
+        taken.append([a, b])
+        if before := _context(text, a):
             out.append((None, None, before, text[a:b], True))
-        end = max(end, b)
-    taken = sorted((a, b) for _, a, b in base)
+    at = 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        if sum(c.isdigit() for c in m[0]) < 3 or any(x < b and a < y for x, y in taken):
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if sum(c.isdigit() for c in m[0]) < 3 or (at < len(taken) and taken[at][0] < b):
             continue
         before = _context(text, a)
         if not before:
@@ -201,11 +209,7 @@ def _redact(batch: pa.RecordBatch) -> pa.RecordBatch:
 def redact_documents(docs: DataFrame) -> DataFrame:
     """All rows, columns as they came, with every span found replaced by its tag."""
     rest = [c for c in docs.columns if c != "text"]
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), "text", F.struct(*rest).alias("row")), "rows", "pipeline")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id"), "text", W.packed(rest).alias("row")), "rows", "pipeline")
     found = find(rows.select("rid", "doc_id", "text"), "pipeline").where("size(base) > 0 or extra is not null").drop("doc_id")
     joined = rows.join(found, "rid", "left").select("row", "text", "base", "extra")
-    out = map_batches(joined, _redact, f"row {dict(joined.dtypes)['row']}, text string")
-    pick = {c: F.col("row")[c] for c in rest} | {"text": F.col("text")}
-    if "n_chars" in rest:
-        pick["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*(pick[c].alias(c) for c in docs.columns))
+    return W.unpacked(map_batches(joined, _redact, joined.select("row", "text").schema), docs)
