@@ -13,22 +13,29 @@ pieces is split) and rank maps to pattern, copy and slot by interval.
 The program sees a histogram of at most 136 classes at every corpus size; the pattern
 table that all tasks get has at most a few thousand rows for the same reason.
 
-Defined results: null text is the single id 1; repeated rows are packed each; empty
-documents and empty tables work; further columns are ignored.
+Ids are those of the tokenizer's own file. Its pattern never goes from other characters on to
+white space, so texts are encoded in chunks cut there, and a worker remembers short chunks.
+
+Defined results: null text is the single id 1; repeated rows are packed each; ties are broken by
+a hash of the row number; a text of any length is encoded chunk by chunk; empty documents and
+empty tables work; further columns of any name are ignored.
 """
 
 from __future__ import annotations
 
 import array
-import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm import words as W
 from millrace.llm.arrow import map_batches
@@ -42,66 +49,59 @@ CUT = 256
 GAP = 1.0005
 COLUMNS = 4000
 END = 1
-RUN = 4000
-MEMO = 400_000
+#: Pieces of a ranking group.
+RUN = 256
+TOKENIZER = "byte_bpe_50k.json"
+#: Chunks that a worker remembers, and characters of the longest.
+MEMO, LONG = 400_000, 64
 
 
 # --- tokens ---------------------------------------------------------------------------
 
+#: What the tokenizer's own pattern takes for white space (Unicode's White_Space).
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: No pre-token goes from other characters on to white space, so texts are cut there.
+CHUNKS = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+
 
-class _Words(dict):
-    """Ids (as bytes) of ' ' + word. A space after a non-space always starts a pre-token."""
+class _Chunks(dict):
+    """Ids (as bytes) of chunks; long ones are not kept."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        ids = self[word] = array.array("I", self.encode(" " + word)).tobytes()
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array.array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= LONG:
+            if len(self) >= MEMO:
+                self.clear()
+            self[chunk] = ids
         return ids
 
 
-_tokenizer = None
-
-
+@cache
 def _load():
-    """The byte-level BPE, once per worker; both files hold one vocabulary.
+    """(ids of chunks, finder of added tokens, tokenizer) of the byte-level BPE, once per worker."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
-    Only the json holds added tokens, which ``tokenizers`` finds in any text, so a text with one
-    of them is encoded by that library and file.
-    """
-    global _tokenizer
-    if _tokenizer is None:
-        import json
-        import re
-
-        import public_tokenizers as public
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        with open(public.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encode = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-            added = [t["content"] for t in json.load(f)["added_tokens"]]
-        holds = re.compile("|".join(map(re.escape, added)) or r"(?!)").search
-        whole = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-        _tokenizer = encode, _Words(encode), re.compile(r"\s ").search, holds, whole
-    return _tokenizer
+    with open(public_tokenizers.path(TOKENIZER), encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f)["added_tokens"]]
+    whole = Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+    return _Chunks(whole.encode), re.compile("|".join(map(re.escape, added)) or r"(?!)").search, whole
 
 
 def token_bytes(text: str | None) -> bytes:
-    """Little-endian unsigned 32-bit ids of a whole text, then id 1."""
-    encode, memo, odd, holds, whole = _load()
-    text, end = text or "", array.array("I", [END]).tobytes()
-    if holds(text):
+    """Little-endian unsigned 32-bit ids of a whole text, then id 1.
+
+    A text that holds an added token is encoded at once, since such a token may lie over a cut.
+    """
+    ids, added, whole = _load()
+    end = array.array("I", [END]).tobytes()
+    if added(text := text or ""):
         return array.array("I", whole.encode(text, add_special_tokens=False).ids).tobytes() + end
-    if odd(text):
-        return array.array("I", encode(text)).tobytes() + end
-    head, *rest = text.split(" ")
-    return array.array("I", encode(head)).tobytes() + b"".join(map(memo.__getitem__, rest)) + end
+    return b"".join(map(ids.__getitem__, CHUNKS.findall(text))) + end
 
 
 def _piece_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -230,12 +230,13 @@ def pack_pieces(pieces: DataFrame) -> DataFrame:
     hist = {r["cls"]: r["n"] for r in pieces.groupBy("cls").agg(F.count("*").alias("n")).collect()}
     table = intervals(solve(hist, LENGTH // GRAIN))
     groups = max(1, -(-sum(hist.values()) // RUN))
-    key = F.struct(F.xxhash64("doc_id", "start"), "doc_id", "start", "ids_crc32", "doc_tokens")
-    sub = pieces.withColumn("sub", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)))
+    # the row number spreads the rows of one doc_id as well; the table is written, so it stays
+    row = F.xxhash64("doc_id", "start", F.monotonically_increasing_id())
+    sub = pieces.withColumn("key", row).withColumn("sub", F.pmod("key", F.lit(groups)))
     base = sub.groupBy("cls", "sub").agg(F.count("*").alias("n"))
     base = base.select("cls", "sub", (F.sum("n").over(Window.partitionBy("cls").orderBy("sub")) - F.col("n")).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("cls", "sub").orderBy(key)) - 1 + F.col("base")
-    ranked = sub.join(base, ["cls", "sub"]).withColumn("rank", rank).drop("base", "sub")
+    rank = F.row_number().over(Window.partitionBy("cls", "sub").orderBy("key")) - 1 + F.col("base")
+    ranked = sub.join(base, ["cls", "sub"]).withColumn("rank", rank).drop("base", "sub", "key")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,8 +250,8 @@ def pack_pieces(pieces: DataFrame) -> DataFrame:
             rest = [n for n in b.schema.names if n not in ("cls", "rank")]
             yield pa.RecordBatch.from_arrays([*b.select(rest).columns, pa.array(seq), pa.array(slot)], [*rest, "sequence_id", "slot"])
 
-    schema = ", ".join(f"{n} {t}" for n, t in ranked.dtypes if n not in ("cls", "rank"))
-    placed = ranked.mapInArrow(assign, f"{schema}, sequence_id long, slot long")
+    kept = [f for f in ranked.schema.fields if f.name not in ("cls", "rank")]
+    placed = ranked.mapInArrow(assign, StructType([*kept, StructField("sequence_id", LongType()), StructField("slot", LongType())]))
     run = Window.partitionBy("sequence_id").orderBy("slot")
     return placed.withColumn("offset", F.sum("length").over(run) - F.col("length")).drop("slot")
 

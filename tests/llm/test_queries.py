@@ -1,6 +1,7 @@
 """Every query on a small table of hard cases, against brute force; and on empty tables."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -115,7 +116,6 @@ def test_media(spark, sf, rows):
 
 def test_packing(spark, sf, rows):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = {}
     for d, t, *_ in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
@@ -147,6 +147,16 @@ def test_added_tokens_keep_their_id():
         assert ids(text) == [*tok.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_ids_are_the_tokenizers():
+    """Whole texts by the library itself: every kind of white space, long runs, contractions, odd characters."""
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(11)
+    bits = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", "\u2003", "\u200b", "\u2028", "\u202f", "\u3000", "\ufeff", "'s", "'ll", "don't", "word", "Ünï", "99", "!?", "日本", "😀", "\x00"]
+    long = [" " * 1_000_000 + "a", "x" * 200_000, "1" * 50_000 + " ", "\n" * 5000, "ab " * 50_000]
+    for text in ["", *long, *("".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(4000))]:
+        assert np.frombuffer(packing.token_bytes(text), "<u4").tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_cutting_stock_covers_demand():
     rng = random.Random(1)
     for _ in range(5):
@@ -252,6 +262,53 @@ def test_pii(spark, sf, rows):
         assert pii.base_spans(s) == brute_pii(s)
 
 
+def test_pii_long_texts():
+    """Long runs of digits, dots, signs and letters end, with the contract's spans."""
+    for t in ("1" * 5000 + ".1.1.1", "0" * 5000 + "1.2.3.4", "1." * 20_000, "+1" * 20_000, "a@b" * 20_000, "1 " * 20_000, "x1-" * 20_000):
+        small = t[:3000]
+        assert pii.base_spans(small) == brute_pii_padded(small)
+        pii.candidates(t, pii.base_spans(t))
+    t = "call +1 555 010 1234 or " * 20_000 + "id EMP-20394"
+    assert len(pii.candidates(t, pii.base_spans(t))) == 20_000 + 2
+
+
+def brute_pii_padded(t):
+    out = []
+    for kind, a, b in brute_pii_all(t):
+        if kind != "ip" or all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in t[a:b].split(".")):
+            out.append((kind, a, b))
+    return out
+
+
+def brute_pii_all(t):
+    d = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d(m[0])) <= 19 and pii.luhn(d(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(d(m[0])) <= 15]
+
+
+def test_pii_graph_against_brute_force(spark):
+    """Trusted patterns of random graphs, by the definition."""
+    found = 0
+    for seed in range(3):
+        rng = random.Random(seed)
+        near = lambda p: 2 * (p // 3) + rng.randint(0, 14)  # noqa: E731  patterns overlap in a chain
+        edges = [(f"p{p}", f"i{i}", i < 15) for p in (rng.randint(0, 17) for _ in range(2500)) for i in [near(p)]]
+        seeds = {i for _, i, s in edges if s}
+        graph: dict[str, set[str]] = {}
+        for p, i, _ in edges:
+            graph.setdefault(p, set()).add(i)
+        known, trusted = set(seeds), set()
+        for _ in range(pii.ROUNDS):
+            trusted = {p for p, x in graph.items() if len(x & known) >= pii.SUPPORT and len(x & known) / (len(x) + pii.PRIOR) >= pii.CONFIDENCE}
+            known = seeds.union(*(graph[p] for p in trusted))
+        df = spark.createDataFrame(edges, "pattern string, instance string, seed boolean")
+        assert {r["pattern"] for r in pii.accepted_patterns(df).collect()} == trusted
+        found += len(trusted)
+    assert found > 3
+
+
 def test_pii_bootstraps_contexts(spark):
     """Tokens that only share a context with seeds are found; a mixed context is not trusted."""
     rng = random.Random(4)
@@ -293,6 +350,62 @@ def test_filters_estimate():
     assert f.hits(a)[0] == pytest.approx(50_000, rel=0.01) and abs(f.hits(a)[1]) < 200
 
 
+def test_filters_against_exact_sets():
+    """Corrected counts of over 64 languages against the sets themselves."""
+    rng = np.random.default_rng(1)
+    langs = [f"l{i:02}" for i in range(70)]
+    sets = [langid._mix(rng.integers(0, 1 << 62, 3000).astype(np.uint64)) for _ in langs]
+    f = langid.Filters.build(langs, list(enumerate(sets)))
+    text = np.concatenate([sets[3][:500], sets[66][:900], langid._mix(rng.integers(0, 1 << 62, 4000).astype(np.uint64))])
+    exact = [np.isin(text, s).sum() for s in sets]
+    assert np.abs(f.hits(text) - exact).max() < 5
+
+
+def test_language_ties_and_no_evidence(spark):
+    rows = [(i, "b" if i % 2 else "a", "stone house river") for i in range(40)] + [(100 + i, "c", "zzz yyy") for i in range(60)]
+    f = langid.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    assert f.predict("river house")[0] == "a"  # a and b tie: the first in code point order
+    assert f.predict("\U00031350\U000323af") == ("c", 0.0)  # letters that no language has: the most frequent one
+    assert f.predict("12 !?") == ("und", 0.0) and f.predict(None) == ("und", 0.0)
+
+
+def test_vocabulary_from_a_table(spark):
+    table = spark.createDataFrame([("Foo", True), ("bar", False), ("baz", False), ("bar", False), (None, True), ("", True)], "term string, strict boolean")
+    words = urls.vocabulary(table)
+    assert words == (("foo",), ("bar", "baz"))
+    pages = spark.createDataFrame([(1, "http://x.io/FOO"), (2, "http://x.io/bar"), (3, "http://bar.io/baz/bar"), (4, "http://x.io/foobar"), (5, None)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, vocabulary=words).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "allow"}
+    with pytest.raises(ValueError):
+        urls.vocabulary(table, most=3)
+
+
+def test_records_of_many_layouts(spark):
+    """Records of different layouts in one table become the same conversation."""
+    said = [("user", "a <|im_end|>"), ("assistant", "b\\n")]
+    records = [{"messages": [{"role": r, "content": t} for r, t in said]}, {"prompt": said[0][1], "response": said[1][1]}, {"instruction": said[0][1], "output": said[1][1]}, {"conversations": [{"from": f, "value": t} for f, (_, t) in zip(("human", "gpt"), said)]}]
+    rows = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(9, json.dumps({"odd": 1})), (10, None), (11, "{")]
+    got = {r["id"]: r for r in chat.format_records(spark.createDataFrame(rows, "id long, record string")).collect()}
+    assert len({got[i]["schema"] for i in range(4)}) == 4
+    for i in range(4):
+        r = got[i]
+        assert chat.parse(r["formatted"]) == said and [chat.unescape(r["formatted"][m["a"] : m["b"]]) for m in r["mask"]] == [said[1][1]]
+    assert all(got[i]["formatted"] is None and got[i]["mask"] is None for i in (9, 10, 11)) and got[9]["schema"] is not None and got[10]["schema"] is None
+
+
+def test_reader_finds_turns_in_any_pieces():
+    """The reader gets the output in pieces that ignore turns."""
+    rng = random.Random(3)
+    for _ in range(300):
+        said = [(rng.choice(["user", "a\nb", "", "<|x"]), "".join(rng.choice(["<", "|", "\\", chat.START, chat.END, "\n", "x"]) for _ in range(rng.randint(0, 9)))) for _ in range(rng.randint(0, 5))]
+        whole, at, reader, got = chat.render(said)[0], 0, chat.Reader(), []
+        while at < len(whole):
+            n = rng.randint(1, 40)
+            got += reader.feed(whole[at : at + n])
+            at += n
+        assert got == said and reader.rest == ""
+
+
 @pytest.mark.parametrize("op", [quality, media, substring, packing, simhash, chat, mixing, urls, pii, langid])
 def test_empty_tables(spark, empty, op):
     assert op.query(spark, empty).count() == (1 if op is chat else 0)
