@@ -12,7 +12,10 @@ by population counts over its bit, corrected for its filter's false-positive rat
 all corrected counts is the score. Only the text is an input of a prediction.
 
 Defined results: null text or a text without letters is ``und`` with score 0; ties go to the
-first language in code point order; with no labelled training rows all is ``und``.
+first language in code point order; a text whose n-grams no language has gets the language of
+most training documents with score 0; with no labelled training rows all is ``und``; a text of
+any length is looked up ``CHUNK`` n-grams at a time; repeated rows repeat; empty tables give
+none; the query ignores further columns of any name.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from millrace.llm import words as W
 from millrace.llm.arrow import map_batches
@@ -41,7 +45,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 def _letters() -> np.ndarray:
     """Code point -> its lower-case code point where it is a letter, else 0."""
     table = np.zeros(0x110000, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         if (ch := chr(c)).isalpha():
             low = ch.lower()
             table[c] = ord(low) if len(low) == 1 else c
@@ -84,18 +88,18 @@ def slots_of(names: np.ndarray) -> list[np.ndarray]:
 class Filters:
     """The bit-sliced filters: ``masks[slot]`` has bit l set where language l has the slot."""
 
-    def __init__(self, langs: list[str], words: np.ndarray):
-        self.langs, self.masks = langs, words  # (slots, ceil(langs / 64)) of uint64
+    def __init__(self, langs: list[str], words: np.ndarray, common: int = 0):
+        self.langs, self.masks, self.common = langs, words, common  # (slots, ceil(langs / 64)) of uint64
         fill = [float(((words[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)).mean()) for i in range(len(langs))]
         self.false = np.array(fill) ** HASHES
 
     @classmethod
-    def build(cls, langs: list[str], rows: list[tuple[int, np.ndarray]]) -> Filters:
+    def build(cls, langs: list[str], rows: list[tuple[int, np.ndarray]], common: int = 0) -> Filters:
         masks = np.zeros((SLOTS, max(1, -(-len(langs) // 64))), np.uint64)
         for i, names in rows:
             for s in slots_of(names):
                 masks[s, i // 64] |= np.uint64(1 << (i % 64))
-        return cls(langs, masks)
+        return cls(langs, masks, common)
 
     def hits(self, names: np.ndarray) -> np.ndarray:
         """n-grams found in each language, corrected for false positives."""
@@ -115,8 +119,10 @@ class Filters:
             return "und", 0.0
         c = self.hits(names)
         total = c.sum()
+        if total <= 0:
+            return self.langs[self.common], 0.0
         i = int(np.argmax(c))
-        return self.langs[i], float(min(1.0, c[i] / total)) if total > 0 else 0.0
+        return self.langs[i], float(min(1.0, c[i] / total))
 
 
 def has_letter(text: str | None) -> bool:
@@ -144,17 +150,18 @@ def fit(labelled: DataFrame) -> Filters:
     langs = sorted(docs)
     if not langs:
         return Filters([], np.zeros((1, 1), np.uint64))
+    common = max(range(len(langs)), key=lambda i: (docs[langs[i]], -i))
     share = F.element_at(F.create_map(*(F.lit(v) for k in langs for v in (k, min(1.0, SAMPLE / docs[k])))), F.col("lang"))
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     counts = map_batches(chosen.select("lang", "text"), _gram_batch, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not total:
-        return Filters(langs, np.zeros((SLOTS, max(1, -(-len(langs) // 64))), np.uint64))
+        return Filters(langs, np.zeros((SLOTS, max(1, -(-len(langs) // 64))), np.uint64), common)
     least = F.element_at(F.create_map(*(F.lit(v) for k, t in total.items() for v in (k, max(2.0, RATE * t)))), F.col("lang"))
     kept = counts.where(F.col("n") >= least).select("lang", "gram").toPandas()  # at most 1 / RATE rows a language
     rows = [(langs.index(k), g["gram"].to_numpy().view(np.uint64)) for k, g in kept.groupby("lang")]
-    return Filters.build(langs, rows)
+    return Filters.build(langs, rows, common)
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -170,8 +177,8 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
             [*rest, "lang_pred", "score"],
         )
 
-    schema = ", ".join(f"{n} {t}" for n, t in docs.dtypes if n != "text")
-    return map_batches(docs, run, f"{schema}, lang_pred string, score double")
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    return map_batches(docs, run, StructType([*rest, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
