@@ -5,8 +5,13 @@ longest fitting rule decides. Every other url is searched once by an automaton o
 and soft terms; a hit counts where no ASCII letter or digit touches it. One strict hit or
 ``SOFT_HITS`` distinct soft terms reject.
 
+The vocabulary is a parameter: ``vocabulary`` reads one from a table of terms, and the terms
+below are the query's own.
+
 Defined results: a null url, or one without ``://``, has empty host and path and fits no
-rule; a null url has no terms and is allowed; repeated rows and empty tables work.
+rule; a null url has no terms and is allowed; of rules of one length the first listed decides;
+a url of any length is searched once; further columns of any name are ignored; repeated rows and
+empty tables work.
 """
 
 from __future__ import annotations
@@ -27,10 +32,19 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-# The vocabulary, lower case.
-STRICT = ("porn", "xxx", "hentai", "escort", "camgirl", "warez", "keygen", "viagra")
-SOFT = ("adult", "sex", "nude", "casino", "poker", "betting", "slots", "lottery", "loan", "payday", "torrent", "crack", "serial", "pills", "dating", "replica")
+# The query's vocabulary, lower case.
+STRICT = (
+    "porn", "porno", "pornstar", "xxx", "hentai", "escort", "escorts", "camgirl", "camgirls", "camsex", "milf", "nsfw", "sexcam", "xvideos", "bdsm",
+    "warez", "keygen", "cracked", "serialz", "viagra", "cialis", "levitra", "xanax", "oxycontin", "steroids",
+)
+SOFT = (
+    "adult", "sex", "sexy", "nude", "naked", "erotic", "fetish", "lingerie", "webcam", "hookup", "dating", "singles", "casino", "poker", "betting", "bet", "slots", "roulette", "blackjack",
+    "jackpot", "lottery", "gambling", "loan", "loans", "payday", "credit", "refinance", "forex", "binary", "bitcoin", "torrent", "crack", "serial", "nulled", "proxy", "pills", "pharmacy",
+    "weightloss", "diet", "replica", "cheap", "discount", "free", "win", "prize", "download", "clickbait", "gossip",
+)
 SOFT_HITS = 2
+#: Terms that every worker gets at most.
+MOST = 1_000_000
 
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -66,6 +80,17 @@ class Rules:
         return best
 
 
+def vocabulary(table: DataFrame, most: int = MOST) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(strict, soft) terms of a table with term and strict (null: soft); A-Z are lower-cased.
+
+    A table of over ``most`` terms is refused, since each worker gets all of them.
+    """
+    rows = table.where("term <> ''").select("term", "strict").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the vocabulary has over {most} terms")
+    return tuple(tuple(sorted({r["term"].translate(_LOWER) for r in rows if bool(r["strict"]) == strict})) for strict in (True, False))
+
+
 @cache
 def automaton(strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
@@ -95,15 +120,15 @@ def term_hits(url: str | None, strict=STRICT, soft=SOFT) -> tuple[int, int]:
     return n, len(seen)
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, vocabulary: tuple[tuple[str, ...], tuple[str, ...]] = (STRICT, SOFT)) -> DataFrame:
     """page_id, host, path, rule, verdict and the hit counts of every url."""
-    table = Rules(rules)
+    table, words = Rules(rules), pages.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for url in batch.column("url").to_pylist():
             host, path = split_url(url)
-            strict, soft = term_hits(url)
+            strict, soft = term_hits(url, *words.value)
             rule, verdict = table.find(host, path) or (None, "block" if strict or soft >= SOFT_HITS else "allow")
             rows.append((host, path, rule, verdict, strict, soft))
         cols = list(zip(*rows)) or [()] * 6
