@@ -7,19 +7,22 @@ instruction and message layouts into canonical (role, text) turns. A template th
 the turns; control strings inside texts are escaped reversibly, and the loss mask is a list
 of spans of the output that cover assistant texts.
 
-Table rows are the layout {turn, role, text}. Rows are sorted by (conversation, turn) and a
-conversation is written and digested turn by turn, so one of any length needs the memory of
-one turn.
+``format_records`` takes JSON records of any mix of layouts. Rows of the table of turns are the
+layout {turn, role, text}: they are sorted by (conversation, turn), each goes through its mapping,
+and the conversation's output is read back by a reader that gets it in pieces of ``PIECE``
+characters and finds the turns itself, so one of any length needs the memory of one turn.
 
 Defined results: null text and null role count as empty; turns of one number go by role,
 then text; null conv_id is a conversation of its own; repeated rows are repeated turns;
-an unknown layout raises ``UnknownLayout`` naming its paths; no rows give only
-conversation -1 of the query.
+an unknown layout raises ``UnknownLayout`` naming its paths (a record of one, or one that is not
+JSON, is left unformatted by ``format_records``); a text of any length is one turn's memory;
+further columns of any name are ignored; no rows give only conversation -1 of the query.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -27,8 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.arrow import map_batches
+
 START, END = "<|im_start|>", "<|im_end|>"
 LEARNED = "assistant"
+#: Characters of output after which it goes to the reader.
+PIECE = 1 << 16
 
 
 class UnknownLayout(ValueError):
@@ -128,39 +135,93 @@ def render(record_turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, in
     return "".join(out), mask
 
 
+class Reader:
+    """Finds the turns in formatted output that comes in pieces of any length."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, piece: str) -> list[tuple[str, str]]:
+        """The turns that end in this piece; ``END`` never appears inside an escaped text."""
+        seen = max(0, len(self.rest) - len(END))
+        self.rest += piece
+        out, at = [], 0
+        while (e := self.rest.find(END + "\n", max(at, seen))) >= 0:
+            e += len(END) + 1
+            out.append(read_turn(self.rest[at:e]))
+            at = e
+        self.rest = self.rest[at:]
+        return out
+
+
 def parse(formatted: str) -> list[tuple[str, str]]:
     """The turns back from a formatted conversation."""
-    ends = [m.end() for m in re.finditer(re.escape(END) + "\n", formatted)]
-    out, at = [], 0
-    for e in ends:  # END never appears inside an escaped text
-        out.append(read_turn(formatted[at:e]))
-        at = e
-    return out
+    return Reader().feed(formatted)
 
 
 class _Digest:
-    """What is read back from a conversation's formatted turns, one turn at a time."""
+    """What is read back from a conversation's output, which is written and read piece by piece."""
 
     def __init__(self, conv_id):
         self.conv_id, self.n, self.loss, self.size = conv_id, 0, 0, 0
-        self.turns, self.masked = hashlib.sha256(), hashlib.sha256()
+        self.turns, self.masked, self.reader = hashlib.sha256(), hashlib.sha256(), Reader()
+        self.out: list[str] = []
+        self.mask: list[tuple[int, int]] = []
+        self.held = 0
 
     def add(self, record: dict) -> None:
-        for role, text in turns(record):
-            piece, mask = render([(role, text)])
-            self.size += len(piece)
+        piece, mask = render(turns(record))
+        self.out.append(piece)
+        self.mask += [(self.held + a, self.held + b) for a, b in mask]
+        self.held += len(piece)
+        if self.held >= PIECE:
+            self.read()
+
+    def read(self) -> None:
+        """Read the output written since the last call: turns, and the text under the loss mask."""
+        whole = "".join(self.out)
+        for role, text in self.reader.feed(whole):
             self.n += 1
-            role, text = read_turn(piece)
             self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-            for a, b in mask:
-                learned = unescape(piece[a:b])
-                self.loss += len(learned)
-                self.masked.update(learned.encode("utf-8", "surrogatepass"))
+        for a, b in self.mask:
+            learned = unescape(whole[a:b])
+            self.loss += len(learned)
+            self.masked.update(learned.encode("utf-8", "surrogatepass"))
+        self.size += len(whole)
+        self.out, self.mask, self.held = [], [], 0
 
     def row(self) -> tuple:
+        self.read()
         return self.conv_id, self.n, self.turns.hexdigest(), self.loss, self.masked.hexdigest(), self.size
 
 
+def _format_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+    schema, formatted, masks = [], [], []
+    for record in batch.column("record").to_pylist():
+        name = text = mask = None
+        try:
+            value = json.loads(record or "")
+            name = fingerprint(paths(value))
+            text, spans = render(turns(value))
+            mask = [{"a": a, "b": b} for a, b in spans]
+        except (ValueError, TypeError, AttributeError):  # not JSON, or of no registered layout
+            pass
+        schema.append(name)
+        formatted.append(text)
+        masks.append(mask)
+    kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(schema, pa.string()), pa.array(formatted, pa.string()), pa.array(masks, kind)], ["id", "schema", "formatted", "mask"])
+
+
+def format_records(records: DataFrame) -> DataFrame:
+    """(id, schema, formatted, mask) of (id, record) rows, a record being JSON of any registered layout.
+
+    ``schema`` is the fingerprint of its field paths; ``formatted`` is null where no mapping has it.
+    """
+    kind = f"id {records.schema['id'].dataType.simpleString()}, schema string, formatted string, mask array<struct<a:bigint,b:bigint>>"
+    return map_batches(records.select("id", "record"), _format_batch, kind)
+
+
 SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _ARROW = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
