@@ -65,11 +65,12 @@ def spectrum_row(x: np.ndarray, rate: float, edges, tolerance: float, flat: floa
     }
     near = np.zeros(len(freq), bool)
     for k in range(2, 6):
-        near |= np.abs(freq - k * freq[top]) <= tolerance * k * freq[top]
+        if k * freq[top] < nyquist:
+            near |= np.abs(freq - k * freq[top]) <= tolerance * k * freq[top]
     out["harmonic_ratio"] = float(share[near].sum())
     cuts = [0.0, *edges, 1.0]
     for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        inside = (freq >= a * nyquist) & ((freq < b * nyquist) if b < 1 else (freq <= nyquist))
+        inside = (freq > a * nyquist) & (freq <= b * nyquist)
         out[f"band_energy_ratio_{k}"] = float(share[inside].sum())
     return out
 
@@ -352,23 +353,38 @@ def t_quantile(p: float, nu: float) -> float:
 
 
 def esd(x: np.ndarray, max_outliers: int, alpha: float) -> np.ndarray:
-    """Generalised ESD: mask of the outliers. The last step whose R beats its bound decides."""
+    """Generalised ESD: mask of the outliers. The last step whose R beats its bound decides.
+
+    The farthest value is always the least or the greatest left, so two sorted orders and running
+    sums serve all steps; the sums start anew where most of their size has been taken away.
+    """
+    index = np.arange(len(x))
+    low, high = np.lexsort((index, x)).tolist(), np.lexsort((index, -x)).tolist()
     left = np.ones(len(x), bool)
-    gone, found = [], 0
-    for step in range(1, max_outliers + 1):
-        v = x[left]
-        n = len(v)
-        s = v.std(ddof=1) if n > 2 else 0.0
-        if s <= 0:
-            break
-        r = np.abs(x - v.mean()) / s
-        r[~left] = -1
-        k = int(np.argmax(r))
+    gone, found, i, j, base = [], 0, 0, 0, math.inf
+    c, total, square = x, 0.0, 0.0
+    for step in range(1, min(max_outliers, len(x) - 2) + 1):
+        n = len(x) - step + 1
+        if square - total * total / n < 1e-6 * base:
+            v = x[left]
+            c = x - v.mean()
+            total, square = float(c[left].sum()), float((c[left] ** 2).sum())
+            base = square
+            if np.ptp(v) == 0:
+                break
+        mean, s = total / n, math.sqrt((square - total * total / n) / (n - 1))
+        while not left[low[i]]:
+            i += 1
+        while not left[high[j]]:
+            j += 1
+        below, above = mean - c[low[i]], c[high[j]] - mean
+        k = low[i] if below > above or (below == above and low[i] < high[j]) else high[j]
         t = t_quantile(1 - alpha / (2 * n), n - 2)
         bound = (n - 1) * t / math.sqrt(n * (n - 2 + t * t))
         left[k] = False
         gone.append(k)
-        if r[k] > bound:
+        total, square = total - c[k], square - c[k] * c[k]
+        if max(below, above) / s > bound:
             found = step
     out = np.zeros(len(x), bool)
     out[gone[:found]] = True

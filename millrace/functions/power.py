@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.position import exact_quantiles
 from millrace.operators.base import OperatorError, num
 
 GOLDEN = (5**0.5 - 1) / 2
@@ -43,7 +44,7 @@ def quantile_transform(df: DataFrame, c: str, n_quantiles: int, normal: bool) ->
     """Ranks by interpolation between at most ``n_quantiles`` exact quantiles (ties: middle)."""
     n = min(n_quantiles, df.count())
     points = np.linspace(0, 1, max(n, 2))
-    q = np.array(df.agg(F.percentile(num(c), F.array(*(F.lit(float(p)) for p in points)))).first()[0], float)
+    q = np.array(exact_quantiles(df, {c: num(c)}, points)[c], float)
     norm = NormalDist()
 
     @F.pandas_udf("double")

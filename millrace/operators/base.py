@@ -12,9 +12,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.position import banded, own_rows
+
 RID = "__rid"
 
 
@@ -139,3 +141,15 @@ def guard(df: DataFrame, **rules) -> None:
 
 def order_by(time_column: str | None):
     return [*([F.col(time_column).asc_nulls_last()] if time_column else []), F.col(RID)]
+
+
+def in_order(df: DataFrame, group_column: str | None, time_column: str | None, back: int = 0, ahead: int = 0):
+    """(rows, window, finish) for frames of at most ``back`` rows before and ``ahead`` after a row.
+
+    Rows of a group are ordered in the group. Without groups the table is one sequence, which is
+    cut into bands that overlap by the frames; ``finish`` must be called on the framed rows.
+    """
+    if group_column:
+        return df, Window.partitionBy(group_column).orderBy(*order_by(time_column)), lambda out: out
+    rows, w = banded(df, order_by(time_column), back, ahead)
+    return rows, w, own_rows

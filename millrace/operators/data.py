@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.durations import as_seconds, seconds
 from millrace.functions.expr import compile_expression
-from millrace.functions.position import nth_smallest
-from millrace.operators.base import RID, OperatorError, guard, need, num, numeric_columns, operator, order_by
+from millrace.functions.position import exact_quantiles, filled_bands, nth_smallest, own_rows
+from millrace.operators.base import RID, OperatorError, guard, in_order, need, num, numeric_columns, operator
 from millrace.sources import tables
 
 COMPARISONS = ("gt", "ge", "lt", "le", "eq", "ne", ">", ">=", "<", "<=", "==", "!=", "in", "between")
@@ -195,10 +195,13 @@ def time_resample(df: DataFrame, *, time_column, frequency, columns=(), aggregat
     out = grid.join(binned, [*g, "__b"], "left")
     if aggregation == "sum":
         out = out.fillna(0.0, subset=used)
-    at = Window.partitionBy(*g).orderBy("__b")
-    back, ahead = at.rowsBetween(Window.unboundedPreceding, 0), at.rowsBetween(0, Window.unboundedFollowing)
     if fill_method != "none":
-        out = out.withColumns({c: _filled(F.col(c), F.col("__b"), back, ahead, fill_method == "interpolate") for c in used})
+        if g:
+            at, finish = Window.partitionBy(*g).orderBy("__b"), lambda rows: rows
+        else:
+            (out, at), finish = filled_bands(out, [F.col("__b")], used), own_rows
+        back, ahead = at.rowsBetween(Window.unboundedPreceding, 0), at.rowsBetween(0, Window.unboundedFollowing)
+        out = finish(out.withColumns({c: _filled(F.col(c), F.col("__b"), back, ahead, fill_method == "interpolate") for c in used}))
     time = F.timestamp_micros(((F.col("__o") + F.col("__b") * step) * 1_000_000).cast("long"))
     ids = F.row_number().over(Window.partitionBy(*g).orderBy("__b")) if g else F.col("__b") + 1
     rid = F.xxhash64(*g).bitwiseAND(F.lit(0x3FFFFF)) * F.lit(1 << 40) + ids if g else ids
@@ -250,13 +253,13 @@ def split(df: DataFrame, *, method="random", test_size=0.25, random_state=42, gr
 def neighbor_features(df: DataFrame, *, columns, offsets=(1,), group_column=None, time_column=None, drop_missing=False):
     """Lag (positive offsets) and lead (negative) columns within groups in time order."""
     need(df, *columns, group_column, time_column)
-    w = Window.partitionBy(*([group_column] if group_column else [])).orderBy(*order_by(time_column))
+    df, w, finish = in_order(df, group_column, time_column, max([0, *offsets]), -min([0, *offsets]))
     new = {}
     for c, k in itertools.product(columns, offsets):
         if k == 0:
             raise OperatorError("an offset is not 0")
         new[f"{c}_lag_{k}" if k > 0 else f"{c}_lead_{-k}"] = F.lag(c, k).over(w) if k > 0 else F.lead(c, -k).over(w)
-    out = df.withColumns(new)
+    out = finish(df.withColumns(new))
     return out.dropna(subset=list(new)) if drop_missing else out
 
 
@@ -277,9 +280,14 @@ def imputation(df: DataFrame, *, columns=(), method="mean", group_column=None, i
         out = out.withColumns({c: F.coalesce(num(c), *own(c), F.lit(whole[c]).cast("double")) for c in used})
         out = out.drop("__g", *(f"__{c}" for c in used))
     else:
-        w = Window.partitionBy(*g).orderBy(RID)
+        out = df.withColumns({f"__x{i}": num(c) for i, c in enumerate(used)})
+        if g:
+            w, finish = Window.partitionBy(*g).orderBy(RID), lambda rows: rows
+            out = out.withColumn("__p", F.row_number().over(w))
+        else:
+            (out, w), finish = filled_bands(out, [F.col(RID)], [f"__x{i}" for i in range(len(used))]), own_rows
+            out = out.withColumn("__p", F.col("__pos"))
         back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-        out = df.withColumns({f"__x{i}": num(c) for i, c in enumerate(used)}).withColumn("__p", F.row_number().over(w))
         new = {}
         for i, c in enumerate(used):
             x = F.col(f"__x{i}")
@@ -290,7 +298,7 @@ def imputation(df: DataFrame, *, columns=(), method="mean", group_column=None, i
                 pa = F.last(F.when(x.isNotNull(), F.col("__p")), ignorenulls=True).over(back)
                 pb = F.first(F.when(x.isNotNull(), F.col("__p")), ignorenulls=True).over(ahead)
                 new[c] = F.coalesce(x, F.when(F.col("__p") - pa <= pb - F.col("__p"), a), b, a)
-        out = out.withColumns(new).drop("__p", *(f"__x{i}" for i in range(len(used))))
+        out = finish(out.withColumns(new)).drop("__p", *(f"__x{i}" for i in range(len(used))))
     guard(out, left=(F.greatest(*(F.col(c).isNull().cast("int") for c in used), F.lit(0)) == 1, "values are still missing"))
     return out
 
@@ -333,8 +341,8 @@ def standardization(df: DataFrame, *, columns=(), method="zscore", with_mean=Tru
     if method == "zscore":
         aggs = [(F.avg(num(c)).alias(f"m{i}"), F.stddev_pop(num(c)).alias(f"s{i}")) for i, c in enumerate(used)]
     else:
-        q = lambda c, p: F.percentile(num(c), F.lit(p))
-        aggs = [(q(c, 0.5).alias(f"m{i}"), (q(c, 0.75) - q(c, 0.25)).alias(f"s{i}")) for i, c in enumerate(used)]
+        q = exact_quantiles(df, {c: num(c) for c in used}, (0.25, 0.5, 0.75))
+        aggs = [(F.lit(q[c][1]).alias(f"m{i}"), F.lit(q[c][2] - q[c][0] if q[c][0] is not None else None).alias(f"s{i}")) for i, c in enumerate(used)]
     s = df.agg(*(a for pair in aggs for a in pair)).first()
     if s["m0"] is None:
         return df
@@ -413,8 +421,8 @@ def discretize(df: DataFrame, *, columns, n_bins=5, strategy="quantile", encode=
 def bin_edges(df: DataFrame, c: str, n_bins: int, strategy: str, seed: int = 42) -> list[float]:
     if strategy == "quantile":
         points = [i / n_bins for i in range(n_bins + 1)]
-        edges = df.agg(F.percentile(num(c), F.array(*map(F.lit, points)))).first()[0]
-        return sorted(set(edges or [0.0, 0.0]))
+        edges = exact_quantiles(df, {c: num(c)}, points)[c]
+        return sorted(set(edges)) if edges[0] is not None else [0.0]
     if strategy == "uniform":
         lo, hi = df.agg(F.min(num(c)), F.max(num(c))).first()
         return [lo + (hi - lo) * i / n_bins for i in range(n_bins + 1)]
@@ -432,9 +440,9 @@ def seasonal_difference(df: DataFrame, *, columns, period=24, mode="difference",
     """Difference or ratio to the value one period earlier; a ratio needs positive baselines."""
     used = numeric_columns(df, columns)
     need(df, group_column, time_column)
-    w = Window.partitionBy(*([group_column] if group_column else [])).orderBy(*order_by(time_column))
+    df, w, finish = in_order(df, group_column, time_column, period)
     end = suffix or ("_seasonal_diff" if mode == "difference" else "_seasonal_ratio")
-    out = df.withColumns({f"__b{i}": F.lag(num(c), period).over(w) for i, c in enumerate(used)})
+    out = finish(df.withColumns({f"__b{i}": F.lag(num(c), period).over(w) for i, c in enumerate(used)}))
     if mode == "ratio":
         guard(out, **{f"c{i}": (F.col(f"__b{i}") <= 0, f"{c} has a baseline that is not positive") for i, c in enumerate(used)})
     name = lambda c: c + end if keep_original else c

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels
-from millrace.operators.base import RID, OperatorError, guard, need, num, numeric_columns, operator, order_by
+from millrace.functions.position import exact_quantiles
+from millrace.operators.base import RID, OperatorError, guard, in_order, need, num, numeric_columns, operator
 from millrace.operators.feature import correlation_matrix
 
 #: A series that one task computes on holds at most this many rows.
@@ -23,10 +24,6 @@ def _groups(group_column):
     return [group_column] if group_column else []
 
 
-def _q(x, p):
-    return F.percentile(x, F.lit(p))
-
-
 def _long(df: DataFrame, used, *keep) -> DataFrame:
     """(keep, column, value) rows without missing values."""
     parts = F.array(*(F.struct(F.lit(c).alias("column"), num(c).alias("value")) for c in used))
@@ -46,8 +43,17 @@ def central_tendency(df: DataFrame, *, columns=(), method="mean", weight_column=
         w = num(weight_column)
         guard(df, bad=(w.isNull() | (w < 0), "weights must be finite and not negative"))
         return _stack(df, {c: F.try_divide(F.sum(w * num(c)), F.sum(F.when(num(c).isNotNull(), w))) for c in used})
-    fn = F.avg if method == "mean" else lambda x: _q(x, 0.5)
-    return _stack(df, {c: fn(num(c)) for c in used})
+    if method == "median":
+        return _table(df, {c: q[0] for c, q in _quantiles(df, used, 0.5).items()})
+    return _stack(df, {c: F.avg(num(c)) for c in used})
+
+
+def _quantiles(df: DataFrame, used, *points) -> dict[str, list[float | None]]:
+    return exact_quantiles(df, {c: num(c) for c in used}, points)
+
+
+def _table(df: DataFrame, values: dict) -> DataFrame:
+    return df.sparkSession.createDataFrame([(c, None if v is None else float(v)) for c, v in values.items()], "column string, value double")
 
 
 def _stack(df: DataFrame, values: dict, name: str = "value") -> DataFrame:
@@ -62,11 +68,14 @@ def dispersion(df: DataFrame, *, columns=(), method="std"):
     """Sample spread measures of each column."""
     used = numeric_columns(df, columns)
     if method == "mad":
-        mid = df.agg(*(_q(num(c), 0.5).alias(f"m{i}") for i, c in enumerate(used))).first()
-        return _stack(df, {c: _q(F.abs(num(c) - F.lit(mid[f"m{i}"])), 0.5) for i, c in enumerate(used)})
+        mid = _quantiles(df, used, 0.5)
+        away = exact_quantiles(df, {c: F.abs(num(c) - F.lit(mid[c][0])) for c in used}, (0.5,))
+        return _table(df, {c: q[0] for c, q in away.items()})
+    if method == "iqr":
+        return _table(df, {c: None if a is None else b - a for c, (a, b) in _quantiles(df, used, 0.25, 0.75).items()})
     fn = {
         "std": F.stddev_samp, "variance": F.var_samp, "range": lambda x: F.max(x) - F.min(x),
-        "iqr": lambda x: _q(x, 0.75) - _q(x, 0.25), "cv": lambda x: F.try_divide(F.stddev_samp(x), F.avg(x)),
+        "cv": lambda x: F.try_divide(F.stddev_samp(x), F.avg(x)),
     }[method]
     return _stack(df, {c: fn(num(c)) for c in used})
 
@@ -150,13 +159,13 @@ def distribution(df: DataFrame, *, columns=(), bins=20):
     """Count, missing rate, moments, quantiles and an equal-width histogram of each column."""
     used = numeric_columns(df, columns)
     zero = lambda x, f: F.when(F.min(x) == F.max(x), F.lit(0.0)).otherwise(f(x))
-    parts = []
+    cuts, parts = _quantiles(df, used, 0.05, 0.5, 0.95), []
     for i, c in enumerate(used):
         x = num(c)
         parts.append(F.struct(
             F.lit(c).alias("column"), F.count(x).alias("count"), (1 - F.count(x) / F.count("*")).alias("missing_rate"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
             zero(x, F.skewness).alias("skewness"), zero(x, F.kurtosis).alias("kurtosis"), F.min(x).alias("min"), F.max(x).alias("max"),
-            _q(x, 0.05).alias("q05"), _q(x, 0.5).alias("median"), _q(x, 0.95).alias("q95"),
+            *(F.lit(v).cast("double").alias(n) for v, n in zip(cuts[c], ("q05", "median", "q95"))),
         ).alias(f"s{i}"))
     one = df.agg(*parts)
     out = one.select(F.explode(F.array(*(F.col(f"s{i}") for i in range(len(used))))).alias("x")).select("x.*")
@@ -168,7 +177,6 @@ def distribution(df: DataFrame, *, columns=(), bins=20):
 def series_products(df: DataFrame, columns, max_lag: int, group_column=None, time_column=None) -> DataFrame:
     """(group, column, lag, acf, n): one window stage with all lags, then sums."""
     g = _groups(group_column)
-    w = Window.partitionBy(*g).orderBy(*order_by(time_column))
     out = None
     for c in columns:
         mean = df.groupBy(*g).agg(F.avg(num(c)).alias("__m"), F.count(num(c)).alias("n"))
@@ -179,8 +187,8 @@ def series_products(df: DataFrame, columns, max_lag: int, group_column=None, tim
             m = mean.first()
             d = d.withColumn("__m", F.lit(m["__m"])).withColumn("n", F.lit(m["n"]))
         d = d.withColumn("__d", F.col("__x") - F.col("__m"))
-        lags = [F.lag("__d", k).over(w).alias(f"l{k}") for k in range(1, max_lag + 1)]
-        d = d.select(*g, "n", "__d", *lags)
+        d, w, finish = in_order(d, group_column, time_column, max_lag)
+        d = finish(d.withColumns({f"l{k}": F.lag("__d", k).over(w) for k in range(1, max_lag + 1)}))
         sums = d.groupBy(*g, "n").agg(F.sum(F.col("__d") * F.col("__d")).alias("s0"), *(F.sum(F.col("__d") * F.col(f"l{k}")).alias(f"s{k}") for k in range(1, max_lag + 1)))
         each = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.coalesce(F.try_divide(F.coalesce(F.col(f"s{k}"), F.lit(0.0)), F.col("s0")), F.lit(0.0)).alias("acf")) for k in range(max_lag + 1))))
         part = sums.select(*g, F.lit(c).alias("column"), "n", each.alias("x")).select(*g, "column", "n", "x.*").where("lag < n")
@@ -256,9 +264,9 @@ def ks_distance(a: DataFrame, b: DataFrame, c: str) -> tuple[float, int, int]:
 def cross_relation(df: DataFrame, *, first_column, second_column, method="cross_correlation", max_lag=20, normalize=True):
     """Covariance or correlation of the overlapping parts at every lag."""
     need(df, first_column, second_column)
-    w = Window.orderBy(RID)
     d = df.select(RID, num(first_column).alias("x"), num(second_column).alias("y")).dropna()
-    shifted = d.select("x", *((F.lag("y", k) if k >= 0 else F.lead("y", -k)).over(w).alias(f"y{i}") for i, k in enumerate(range(-max_lag, max_lag + 1))))
+    d, w, finish = in_order(d, None, None, max_lag, max_lag)
+    shifted = finish(d.withColumns({f"y{i}": (F.lag("y", k) if k >= 0 else F.lead("y", -k)).over(w) for i, k in enumerate(range(-max_lag, max_lag + 1))}))
     aggs = []
     for i, k in enumerate(range(-max_lag, max_lag + 1)):
         x, y = F.when(F.col(f"y{i}").isNotNull(), F.col("x")), F.col(f"y{i}")
@@ -278,21 +286,23 @@ def anomaly(df: DataFrame, *, columns=(), method="boxplot", window=20, threshold
     used = numeric_columns(df, columns, (group_column, time_column))
     g = _groups(group_column)
     out = df.select(RID, *g, *([time_column] if time_column and time_column not in g else []), *(num(c).alias(f"{c}__value") for c in used))
-    w = Window.partitionBy(*g).orderBy(*order_by(time_column))
     new: dict = {}
+    finish = lambda rows: rows
     if method == "boxplot":
-        q = df.groupBy(*g).agg(*(f.alias(n) for i, c in enumerate(used) for f, n in ((_q(num(c), 0.25), f"__a{i}"), (_q(num(c), 0.5), f"__m{i}"), (_q(num(c), 0.75), f"__b{i}"))))
+        names = [(f"__a{i}", f"__m{i}", f"__b{i}") for i in range(len(used))]
         if g:
+            q = df.groupBy(*g).agg(*(F.percentile(num(c), F.lit(p)).alias(n) for c, ns in zip(used, names) for p, n in zip((0.25, 0.5, 0.75), ns)))
             q = q.withColumnRenamed(g[0], "__g")
             out = out.join(q, out[g[0]].eqNullSafe(q["__g"])).drop("__g")
         else:
-            one = q.first().asDict()
-            out = out.withColumns({k: F.lit(v).cast("double") for k, v in one.items()})
+            cuts = _quantiles(df, used, 0.25, 0.5, 0.75)
+            out = out.withColumns({n: F.lit(v).cast("double") for c, ns in zip(used, names) for v, n in zip(cuts[c], ns)})
         for i, c in enumerate(used):
             a, b = F.col(f"__a{i}"), F.col(f"__b{i}")
             new[c] = (F.col(f"__m{i}"), a - iqr_multiplier * (b - a), b + iqr_multiplier * (b - a), b - a)
     else:
         spread = df.agg(*(F.stddev_pop(num(c)).alias(f"s{i}") for i, c in enumerate(used))).first()
+        out, w, finish = in_order(out, group_column, time_column, window - 1)
         f = w.rowsBetween(-(window - 1), 0)
         for i, c in enumerate(used):
             whole = F.lit((spread[f"s{i}"] or 0.0) or 1.0)
@@ -323,7 +333,7 @@ def anomaly(df: DataFrame, *, columns=(), method="boxplot", window=20, threshold
     for x in flags[1:]:
         any_ = any_ | x
     names = [f"{c}__{k}" for c in used for k in ("value", "center", "lower", "upper", "score", "is_anomaly")]
-    return out.withColumn("is_anomaly", any_).select(RID, *names, "is_anomaly")
+    return finish(out.withColumn("is_anomaly", any_)).select(RID, *names, "is_anomaly")
 
 
 def per_series(df: DataFrame, columns: list[str], group_column, time_column, fn, schema: str) -> DataFrame:
@@ -545,7 +555,7 @@ def shape_distance(df: DataFrame, *, first_column, second_column, max_lag_fracti
 def slope_cosine(df: DataFrame, *, first_column, second_column, window=20, threshold=0.5, group_column=None, time_column=None):
     """Rolling slopes of two columns and the cosine of their increments; missing until full."""
     need(df, first_column, second_column, group_column, time_column)
-    w = Window.partitionBy(*_groups(group_column)).orderBy(*order_by(time_column))
+    df, w, finish = in_order(df, group_column, time_column, window)
     d = df.withColumns({"__x": num(first_column), "__y": num(second_column), "__i": F.row_number().over(w).cast("double")})
     d = d.withColumns({"__dx": F.col("__x") - F.lag("__x").over(w), "__dy": F.col("__y") - F.lag("__y").over(w)})
     f, h = w.rowsBetween(-(window - 1), 0), w.rowsBetween(-(window - 2), 0)
@@ -554,4 +564,4 @@ def slope_cosine(df: DataFrame, *, first_column, second_column, window=20, thres
     size = F.sqrt(F.sum(F.col("__dx") * F.col("__dx")).over(h) * F.sum(F.col("__dy") * F.col("__dy")).over(h))
     cos = F.try_divide(F.sum(F.col("__dx") * F.col("__dy")).over(h), F.when(size > 0, size))
     out = d.withColumns({"first_slope": F.when(full, s("__x")), "second_slope": F.when(full, s("__y")), "cosine": F.when(full, cos)})
-    return out.select(RID, "first_slope", "second_slope", "cosine", F.coalesce(F.col("cosine") < -threshold, F.lit(False)).alias("opposite"))
+    return finish(out).select(RID, "first_slope", "second_slope", "cosine", F.coalesce(F.col("cosine") < -threshold, F.lit(False)).alias("opposite"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import inspect
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels, stats
-from millrace.operators.base import RID, OperatorError, guard, need, num, numeric_columns, operator, order_by
+from millrace.functions.position import exact_quantiles
+from millrace.operators.base import RID, OperatorError, guard, in_order, need, num, numeric_columns, operator
 from millrace.operators.windows import Spec, windows
 
 HEAD = ("window_id", "group_no", "group_label", "asset", "rid_start", "rid_stop", "n_rows", "t_begin", "t_end", "label", RID)
@@ -172,10 +174,6 @@ def spectral(df: DataFrame, *, sampling_rate, columns=(), features=("dominant_fr
     return out
 
 
-def _framed(group_column, time_column):
-    return Window.partitionBy(*([group_column] if group_column else [])).orderBy(*order_by(time_column))
-
-
 ROLLING = ("mean", "std", "variance", "median", "max", "min", "max_repeat")
 
 
@@ -184,7 +182,8 @@ def rolling_statistics(df: DataFrame, *, columns, method="mean", window=5, group
     """Trailing statistics per row, named ``<column>__rolling_<method>_<window>``."""
     need(df, group_column, time_column)
     plan = plan_of(numeric_columns(df, columns), [method], column_features, ROLLING)
-    w = _framed(group_column, time_column).rowsBetween(-(window - 1), 0)
+    df, w, finish = in_order(df, group_column, time_column, window - 1)
+    w = w.rowsBetween(-(window - 1), 0)
     fn = {
         "mean": F.avg, "std": F.stddev_pop, "variance": F.var_pop, "max": F.max, "min": F.min,
         "median": lambda x: F.percentile(x, F.lit(0.5)),
@@ -197,7 +196,7 @@ def rolling_statistics(df: DataFrame, *, columns, method="mean", window=5, group
                 new[f"{c}__rolling_{m}_{window}"] = (F.size(F.array_remove(seen, top)) < F.size(seen) - 1).cast("double")
             else:
                 new[f"{c}__rolling_{m}_{window}"] = fn[m](num(c)).over(w)
-    return df.select(RID, *(v.alias(k) for k, v in new.items()))
+    return finish(df.withColumns(new)).select(RID, *(F.col(f"`{n}`") for n in new))
 
 
 TEMPORAL = ("first_difference", "second_difference", "autocorrelation", "sum_abs_change", "peak_count")
@@ -208,8 +207,7 @@ def temporal(df: DataFrame, *, columns, method="first_difference", lag=1, window
     """Row-aligned differences, rolling autocorrelation, absolute change and peak counts."""
     need(df, group_column, time_column)
     plan = plan_of(numeric_columns(df, columns), [method], column_features, TEMPORAL)
-    w = _framed(group_column, time_column)
-    work = df
+    work, w, finish = in_order(df, group_column, time_column, window + lag + 2)
     names: list[str] = []
     for i, (c, methods) in enumerate(plan.items()):
         x = num(c)
@@ -234,7 +232,7 @@ def temporal(df: DataFrame, *, columns, method="first_difference", lag=1, window
             else:
                 seen = F.collect_list(x).over(w.rowsBetween(-(window - 1), 0))
                 work = work.withColumn(name, kernels.peak_count_udf(float(prominence))(seen))
-    return work.select(RID, *names)
+    return finish(work).select(RID, *names)
 
 
 @operator("feature.wavelet", "dataset:Dataset", "features:FeatureDataset")
@@ -243,13 +241,13 @@ def wavelet(df: DataFrame, *, columns, window=32, levels=3, peak_sigma=3.0, grou
     need(df, group_column, time_column)
     if window < 2**levels:
         raise OperatorError("the window is shorter than 2 ** levels")
-    w = _framed(group_column, time_column).rowsBetween(-(window - 1), 0)
-    out, pick = df, [RID]
+    out, w, finish = in_order(df, group_column, time_column, window - 1)
+    w, pick = w.rowsBetween(-(window - 1), 0), [RID]
     for i, c in enumerate(numeric_columns(df, columns)):
         out = out.withColumn(f"__h{i}", kernels.haar_udf(window, levels, peak_sigma)(F.collect_list(num(c)).over(w)))
         names = [*(f"energy_level_{k + 1}" for k in range(levels)), "dominant_level", "peak_count"]
         pick += [F.element_at(f"__h{i}", k + 1).alias(f"{c}__wavelet_{n}") for k, n in enumerate(names)]
-    return out.select(*pick)
+    return finish(out).select(*pick)
 
 
 # --- encoders -------------------------------------------------------------------------
@@ -362,8 +360,11 @@ def feature_imputation(df: DataFrame, *, columns=(), method="mean", fill_value=0
     """Fill missing features, or drop columns without any value."""
     used = list(columns) or [c for c in feature_columns(df) if dict(df.dtypes)[c] in ("double", "float", "int", "bigint")]
     need(df, *used)
-    fn = {"median": lambda x: F.percentile(x, F.lit(0.5))}.get(method, F.avg)
-    s = df.agg(*(fn(num(c)).alias(f"v{i}") for i, c in enumerate(used))).first()
+    if method == "median":
+        middle = exact_quantiles(df, {c: num(c) for c in used}, (0.5,)) if used else {}
+        s = {f"v{i}": middle[c][0] for i, c in enumerate(used)}
+    else:
+        s = df.agg(*(F.avg(num(c)).alias(f"v{i}") for i, c in enumerate(used))).first()
     if method == "drop_columns":
         return df.drop(*(c for i, c in enumerate(used) if s[f"v{i}"] is None))
     if method == "zero":
@@ -472,14 +473,46 @@ def pca(df: DataFrame, *, n_components=2, columns=(), whiten=False):
     return {"features": df.select(*[c for c in df.columns if c in HEAD and c != RID], *(v.alias(n) for n, v in new.items()), RID), "variance": table}
 
 
+#: Columns up to which a covariance matrix is one aggregation of built-in functions.
+FEW_COLUMNS = 16
+
+
+def _covariances(df: DataFrame, used: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(means, pairwise-complete sample covariances)."""
+    d = len(used)
+    if d <= FEW_COLUMNS:
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        row = df.agg(*(F.avg(num(c)).alias(f"m{i}") for i, c in enumerate(used)), *(F.covar_samp(num(used[i]), num(used[j])).alias(f"c{i}_{j}") for i, j in pairs)).first()
+        cov = np.zeros((d, d))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+        return np.array([row[f"m{i}"] for i in range(d)], float), cov
+    row = df.agg(*(F.avg(num(c)).alias(f"m{i}") for i, c in enumerate(used))).first()
+    mean = np.array([row[f"m{i}"] for i in range(d)], float)
+    shift = np.nan_to_num(mean)
+
+    def products(batches):
+        """Of a task's rows: counts, sums and products of every pair of columns."""
+        total = np.zeros((3, d, d))
+        for b in batches:
+            x = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)], 1).astype(float)
+            there = ~np.isnan(x)
+            x, there = np.where(there, x - shift, 0.0), there.astype(float)
+            total += there.T @ there, x.T @ there, x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()], pa.list_(pa.float64()))], ["v"])
+
+    parts = df.select(*(num(c).alias(f"x{i}") for i, c in enumerate(used))).mapInArrow(products, "v array<double>")
+    got = parts.select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect()  # 3 x columns x columns
+    total = np.zeros(3 * d * d)
+    for r in got:
+        total[r["k"]] = r["v"]
+    n, one, two = total.reshape(3, d, d)
+    return mean, np.where(n > 1, (two - one * one.T / np.maximum(n, 1)) / np.maximum(n - 1, 1), 0.0)
+
+
 def principal_axes(df: DataFrame, used: list[str], n: int):
     """(means, loadings, variances, total variance); the matrix is columns x columns."""
-    pairs = [(i, j) for i in range(len(used)) for j in range(i, len(used))]
-    row = df.agg(*(F.avg(num(c)).alias(f"m{i}") for i, c in enumerate(used)), *(F.covar_samp(num(used[i]), num(used[j])).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    m = np.array([row[f"m{i}"] for i in range(len(used))], float)
-    cov = np.zeros((len(used), len(used)))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    m, cov = _covariances(df, used)
     values, vectors = np.linalg.eigh(cov)
     order = np.argsort(values)[::-1][: n or None]
     vectors = vectors[:, order]

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.base import RID, need, num, numeric_columns, operator
+from millrace.operators.base import RID, in_order, need, num, numeric_columns, operator
 from millrace.operators.windows import Spec, windows
 
 
 @operator("data.quality", "dataset:Dataset", "report:Visualization")
 def quality(df: DataFrame, *, columns=(), group_column=None, label_column=None, time_column=None, window_size=0, step=0, max_groups=20, flat_threshold=0.0):
-    """Empty, constant and zero columns, duplicates, flat and mixed windows, label changes."""
+    """Empty, constant and zero columns, duplicates, flat and mixed windows, label changes.
+
+    The report shows the first ``max_groups`` groups in row order; every other figure covers all rows.
+    """
     need(df, *columns, group_column, label_column, time_column)
     used = list(columns) or numeric_columns(df, (), (group_column, label_column, time_column))
     agg = [F.count("*").alias("rows"), F.count_distinct(F.struct(*used)).alias("unique")]
@@ -29,11 +32,11 @@ def quality(df: DataFrame, *, columns=(), group_column=None, label_column=None,
         out["group_constants"] = {str(g[group_column]): [c for i, c in enumerate(used) if g[f"d{i}"] <= 1] for g in per.collect()}
     if label_column:
         g = [group_column] if group_column else []
-        w = Window.partitionBy(*g).orderBy(*([time_column] if time_column else []), RID)
-        before = F.lag(label_column).over(w)
-        first = F.row_number().over(w) == 1
-        moved = df.withColumn("__c", ~first & ~F.col(label_column).eqNullSafe(before))
-        out["label_changes"] = {str(x[0]) if g else "all": x["n"] for x in moved.groupBy(*g).agg(F.count_if("__c").alias("n")).limit(max_groups).collect()}
+        rows, w, finish = in_order(df, group_column, time_column, 1)
+        before, first = F.lag(label_column).over(w), F.lag(F.lit(1)).over(w).isNull()
+        moved = finish(rows.withColumn("__c", ~first & ~F.col(label_column).eqNullSafe(before)))
+        per = moved.groupBy(*g).agg(F.min(RID).alias("first"), F.count_if("__c").alias("n"))
+        out["label_changes"] = {str(x[0]) if g else "all": x["n"] for x in per.orderBy("first").limit(max_groups).collect()}
     if window_size:
         spec = Spec(group_column=group_column, time_column=time_column, window_size=window_size, step=step)
         win = windows(df, spec)

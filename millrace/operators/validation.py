@@ -11,17 +11,19 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels
+from millrace.functions.position import before_bands, exact_quantiles
 from millrace.operators import evaluation as ev
-from millrace.operators.base import RID, OperatorError, guard, need, num, numeric_columns, operator, order_by
+from millrace.operators.base import RID, OperatorError, guard, in_order, need, num, numeric_columns, operator
 from millrace.operators.explore import per_series
 from millrace.operators.feature import feature_columns, principal_axes
+from millrace.plans.durable import materialize
 
 SPLITS = ("stratified", "group", "asset", "temporal")
 MODEL_IN = "features:FeatureDataset labels:LabelVector"
@@ -29,6 +31,8 @@ MODEL_OUT = "model:Model prediction:Prediction metrics:Metrics"
 DETECT_OUT = "model:Model prediction:Prediction metrics:Metrics"
 #: Rows a driver-side fit (kernel machines, neighbours, trees on samples) may use.
 SAMPLE = 5000
+#: Classes fitted against the rest at a time.
+CLASSES_AT_ONCE = 4
 
 
 class Classifier:
@@ -70,7 +74,11 @@ def _classify(features, labels, estimator, split_method, test_size, random_state
     stages = [VectorAssembler(inputCols=used, outputCol="__raw" if scaled else "__v"), *extra]
     if scaled:
         stages.append(StandardScaler(inputCol="__x" if extra else "__raw", outputCol="__v", withMean=True))
-    model = Pipeline(stages=[*stages, estimator.setFeaturesCol("__v").setLabelCol("__i").setPredictionCol("__p")]).fit(train)
+    ready = Pipeline(stages=stages).fit(train)
+    # estimators pass over their input many times: the vectors are made once
+    vectors = materialize(ready.transform(train).select("__v", "__i", *(["__w"] if class_weight == "balanced" else [])), "vectors")
+    fitted = estimator.setFeaturesCol("__v").setLabelCol("__i").setPredictionCol("__p").fit(vectors)
+    model = PipelineModel([*ready.stages, fitted])
     scored = IndexToString(inputCol="__p", outputCol="prediction", labels=names).transform(model.transform(test))
     keep = [c for c in ("window_id",) if c in scored.columns]
     positive = positive_class or names[-1]
@@ -110,7 +118,7 @@ def boosted_trees(features, labels, *, split_method="stratified", test_size=0.25
     share = "all" if colsample_bytree >= 1 else str(colsample_bytree)
     est = GBTClassifier(maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, featureSubsetStrategy=share, seed=random_state)
     if objective != "binary:logistic" and labels.select("label").distinct().count() > 2:
-        est = OneVsRest(classifier=est)
+        est = OneVsRest(classifier=est, parallelism=CLASSES_AT_ONCE)
     return _classify(features, labels, est, split_method, test_size, random_state, positive_class)
 
 
@@ -128,9 +136,10 @@ class ArrayMap(Transformer):
         rng = np.random.default_rng(seed)
         self.kernel, self.leak, self.steps = kernel, leak, steps
         if kernel == "reservoir":
-            self.w_in = rng.uniform(-1, 1, (dims, size)) * scale
+            self.w_in = rng.uniform(-scale, scale, (dims, size))
+            self.bias = rng.uniform(-scale, scale, size)
             w = rng.normal(size=(size, size))
-            self.w = w * (radius / max(abs(np.linalg.eigvals(w))))
+            self.w = w * (radius / (max(abs(np.linalg.eigvals(w))) or 1.0))
         else:
             self.w_in = rng.normal(size=(dims, size)) * math.sqrt(2 * gamma)
             self.bias = rng.uniform(0, 2 * np.pi, size)
@@ -139,8 +148,8 @@ class ArrayMap(Transformer):
         if self.kernel == "reservoir":
             state = np.zeros((len(x), self.w.shape[0]))
             for _ in range(self.steps):
-                state = (1 - self.leak) * state + self.leak * np.tanh(x @ self.w_in + state @ self.w)
-            return np.hstack([x, state])
+                state = (1 - self.leak) * state + self.leak * np.tanh(x @ self.w_in + self.bias + state @ self.w)
+            return state
         if self.kernel == "sigmoid":
             return np.tanh(x @ self.w_in + self.bias)
         if self.kernel == "poly":
@@ -172,7 +181,7 @@ def svm(features, labels, *, split_method="stratified", test_size=0.25, random_s
     used = feature_columns(features)
     est = LinearSVC(regParam=1.0 / (max(C, 1e-9) * 100), maxIter=100)
     if labels.select("label").distinct().count() > 2:
-        est = OneVsRest(classifier=est)
+        est = OneVsRest(classifier=est, parallelism=CLASSES_AT_ONCE)
     extra = [] if kernel == "linear" else _scaled_map(_random_features(kernel, used, gamma, 256, random_state))
     return _classify(features, labels, est, split_method, test_size, random_state, positive_class, class_weight, True, extra)
 
@@ -369,7 +378,7 @@ def _detect(df: DataFrame, columns, score_of, contamination: float | None, inclu
     score = _array_udf(fn)(raw) if callable(fn) and not isinstance(fn, F.Column) else fn
     scored = df.withColumn("__s", score)
     if threshold is None:
-        threshold = scored.agg(F.percentile("__s", F.lit(1 - contamination))).first()[0]
+        threshold = exact_quantiles(scored, {"s": F.col("__s")}, (1 - contamination,))["s"][0]
     model = Detector(used, score, float(threshold), inclusive)
     pred = model.predict(df)
     n, hit = pred.agg(F.count("*"), F.count_if("is_anomaly")).first()
@@ -560,15 +569,21 @@ def dbscan_detector(df, *, columns=(), eps=1.0, min_samples=5, metric="euclidean
 # --- change detectors -----------------------------------------------------------------
 
 
-def _series(df, column, group_column, time_column):
-    """Rows with value x, group, position and the group's count; missing values are an error."""
+def _series(df, column, group_column, time_column, back=0, ahead=0):
+    """(rows, window, finish): rows with value x, group g, position and the group's count n.
+
+    The window reaches ``back`` and ``ahead`` rows; ``finish`` must be called on framed rows.
+    Missing values are an error.
+    """
     need(df, group_column, time_column)
     numeric_columns(df, [column])
     g = [F.coalesce(F.col(group_column).cast("string"), F.lit("<missing>")).alias("g")] if group_column else [F.lit("all").alias("g")]
     d = df.select(RID, *g, *([F.col(time_column).alias("__t")] if time_column else []), num(column).alias("x"))
     guard(d, bad=(F.col("x").isNull(), f"{column} has missing values"))
-    w = Window.partitionBy("g").orderBy(*order_by("__t" if time_column else None))
-    return d.withColumns({"pos": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("g"))}), w
+    d, w, finish = in_order(d, "g" if group_column else None, "__t" if time_column else None, back, ahead)
+    if not group_column:
+        return d.withColumns({"pos": F.col("__pos"), "n": F.lit(df.count())}), w, finish
+    return d.withColumns({"pos": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("g"))}), w, finish
 
 
 def _flagged(d: DataFrame, threshold: float) -> dict:
@@ -580,11 +595,11 @@ def _flagged(d: DataFrame, threshold: float) -> dict:
 @operator("validation.level_shift_detector", "dataset:Dataset", DETECT_OUT)
 def level_shift_detector(df, *, column, window=20, threshold=4.0, group_column=None, time_column=None):
     """Welch t of the rows before and after each split."""
-    d, w = _series(df, column, group_column, time_column)
+    d, w, finish = _series(df, column, group_column, time_column, window, window - 1)
     a, b = w.rowsBetween(-window, -1), w.rowsBetween(0, window - 1)
     full = (F.col("pos") >= window) & (F.col("pos") <= F.col("n") - window)
     d = d.withColumns({"__e": F.sqrt(F.var_samp("x").over(a) / window + F.var_samp("x").over(b) / window), "__d": F.abs(F.avg("x").over(b) - F.avg("x").over(a))})
-    return _flagged(d.withColumn("score", F.when(full & (F.col("__e") > 0), F.col("__d") / F.col("__e"))), threshold)
+    return _flagged(finish(d).withColumn("score", F.when(full & (F.col("__e") > 0), F.col("__d") / F.col("__e"))), threshold)
 
 
 VARIANCE_FLOOR = 1e-12
@@ -593,11 +608,12 @@ VARIANCE_FLOOR = 1e-12
 @operator("validation.volatility_shift_detector", "dataset:Dataset", DETECT_OUT)
 def volatility_shift_detector(df, *, column, window=20, threshold=4.0, group_column=None, time_column=None):
     """Log variance ratio of the rows before and after, in standard errors."""
-    d, w = _series(df, column, group_column, time_column)
+    d, w, finish = _series(df, column, group_column, time_column, window, window - 1)
     a, b = w.rowsBetween(-window, -1), w.rowsBetween(0, window - 1)
     full = (F.col("pos") >= window) & (F.col("pos") <= F.col("n") - window)
-    floor = VARIANCE_FLOOR * F.greatest(F.coalesce(F.var_samp("x").over(Window.partitionBy("g")), F.lit(0.0)), F.lit(1.0))
-    d = d.withColumns({"__a": F.var_samp("x").over(a), "__b": F.var_samp("x").over(b), "__f": floor})
+    d = finish(d.withColumns({"__a": F.var_samp("x").over(a), "__b": F.var_samp("x").over(b)}))
+    floor = VARIANCE_FLOOR * F.greatest(F.coalesce(F.var_samp("x"), F.lit(0.0)), F.lit(1.0))
+    d = d.join(d.groupBy("g").agg(floor.alias("__f")), "g")
     ratio = F.abs(F.ln((F.col("__b") + F.col("__f")) / (F.col("__a") + F.col("__f")))) / math.sqrt(2 / max(window - 1, 1))
     return _flagged(d.withColumn("score", F.when(full, ratio)), threshold)
 
@@ -612,7 +628,8 @@ def _robust(d: DataFrame, x: str, rows, out: str) -> DataFrame:
 @operator("validation.seasonal_detector", "dataset:Dataset", DETECT_OUT)
 def seasonal_detector(df, *, column, period=24, threshold=4.0, reference_fraction=0.5, group_column=None, time_column=None):
     """Distance to the phase medians of the leading reference rows, in robust spreads."""
-    d, _ = _series(df, column, group_column, time_column)
+    d, _, finish = _series(df, column, group_column, time_column)
+    d = finish(d)
     edge = F.greatest(F.lit(period), F.floor(F.col("n") * reference_fraction)).cast("int")
     d = d.withColumns({"phase": F.col("pos") % period, "__ref": F.col("pos") < edge, "__edge": edge})
     guard(d, short=((F.col("n") < 2 * period) | (F.col("__edge") >= F.col("n")), "a series needs two periods and a shorter reference"))
@@ -626,9 +643,9 @@ def seasonal_detector(df, *, column, period=24, threshold=4.0, reference_fractio
 @operator("validation.autoregression_detector", "dataset:Dataset", DETECT_OUT)
 def autoregression_detector(df, *, column, order=2, threshold=4.0, train_fraction=0.5, group_column=None, time_column=None):
     """One-step residuals of an autoregression fitted on the leading rows, in robust spreads."""
-    d, w = _series(df, column, group_column, time_column)
+    d, w, finish = _series(df, column, group_column, time_column, order)
     edge = F.floor(F.col("n") * train_fraction)
-    d = d.withColumns({f"l{k}": F.lag("x", k).over(w) for k in range(1, order + 1)} | {"__train": F.col("pos") < edge})
+    d = finish(d.withColumns({f"l{k}": F.lag("x", k).over(w) for k in range(1, order + 1)} | {"__train": F.col("pos") < edge}))
     guard(d, short=((edge <= order + 2) | (F.col("n") - edge < 2), "a series has too few training rows"))
     lags = [f"l{k}" for k in range(1, order + 1)]
     pairs = [(i, j) for i in range(order) for j in range(i, order)]
@@ -658,7 +675,8 @@ def autoregression_detector(df, *, column, order=2, threshold=4.0, train_fractio
 @operator("validation.esd_detector", "dataset:Dataset", DETECT_OUT)
 def esd_detector(df, *, column, max_outlier_fraction=0.1, alpha=0.05, group_column=None, time_column=None):
     """Generalised extreme studentised deviate test per group."""
-    d, w = _series(df, column, group_column, time_column)
+    d, _, finish = _series(df, column, group_column, time_column)
+    d = finish(d)
 
     def run(key, t: pd.DataFrame) -> pd.DataFrame:
         x = t["x"].to_numpy(float)
@@ -667,19 +685,20 @@ def esd_detector(df, *, column, max_outlier_fraction=0.1, alpha=0.05, group_colu
         t["score"] = np.where(hit, np.abs(x - x.mean()) / s if s > 0 else 0.0, 0.0)
         return t[[RID, "g", "pos", "score"]]
 
-    scored = d.select(RID, "g", "pos", "x").groupBy("g").applyInPandas(run, f"{RID} long, g string, pos int, score double")
+    scored = d.select(RID, "g", "pos", "x").groupBy("g").applyInPandas(run, f"{RID} long, g string, pos long, score double")
     return _flagged(scored, 0.0)
 
 
 @operator("validation.nsigma_detector", "dataset:Dataset", DETECT_OUT, mode=("global", "group", "rolling"))
 def nsigma_detector(df, *, column, sigma=3.0, mode="global", window=30, group_column=None, time_column=None):
     """Distance to the mean in population standard deviations: of all rows, the group, or trailing rows."""
-    d, w = _series(df, column, group_column, time_column)
+    d, w, finish = _series(df, column, group_column, time_column, window - 1 if mode == "rolling" else 0)
     if mode == "rolling":
         f = w.rowsBetween(-(window - 1), 0)
-        d = d.withColumns({"__m": F.avg("x").over(f), "__s": F.stddev_pop("x").over(f), "__k": F.count("x").over(f)})
+        d = finish(d.withColumns({"__m": F.avg("x").over(f), "__s": F.stddev_pop("x").over(f), "__k": F.count("x").over(f)}))
         ok = (F.col("__k") >= max(2, window // 2)) & (F.col("__s") > 0)
         return _flagged(d.withColumn("score", F.when(ok, F.abs(F.col("x") - F.col("__m")) / F.col("__s"))), sigma)
+    d = finish(d)
     if mode == "group":
         if not group_column:
             raise OperatorError("mode group needs group_column")
@@ -697,7 +716,7 @@ def mean_drift_detector(df, *, column, reference_fraction=0.3, slack=0.5, decisi
     An arm that restarts at 0 equals S - min(0, running min S). ``compat`` gives the lower arm
     the upper arm's deviation, as some implementations do.
     """
-    d, w = _series(df, column, group_column, time_column)
+    d, w, finish = _series(df, column, group_column, time_column)
     edge = F.floor(F.col("n") * reference_fraction)
     guard(d, short=((edge < 3) | (F.col("n") - edge < 2), "the reference is too short"))
     ref = d.where(F.col("pos") < edge).groupBy("g").agg(F.avg("x").alias("__m"), F.stddev_samp("x").alias("__s"))
@@ -708,19 +727,25 @@ def mean_drift_detector(df, *, column, reference_fraction=0.3, slack=0.5, decisi
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({"__u": F.when(live, z - slack).otherwise(0.0), "__l": F.when(live, z - slack if compat else z + slack).otherwise(0.0)})
     d = d.withColumns({"__su": F.sum("__u").over(run), "__sl": F.sum("__l").over(run)})
-    up = F.col("__su") - F.least(F.lit(0.0), F.min("__su").over(run))
-    low = F.col("__sl") - F.greatest(F.lit(0.0), F.max("__sl").over(run))
-    return _flagged(d.withColumn("score", F.when(live, F.greatest(up, -low))), decision)
+    least, most = F.min("__su").over(run), F.max("__sl").over(run)
+    if not group_column:  # sums and their extremes go on from band to band
+        d = d.join(before_bands(d, sum_u=F.sum("__u"), sum_l=F.sum("__l")), "__band").fillna(0.0, ["sum_u", "sum_l"])
+        d = d.withColumns({"__su": F.col("__su") + F.col("sum_u"), "__sl": F.col("__sl") + F.col("sum_l")})
+        d = d.join(before_bands(d, min_u=F.min("__su"), max_l=F.max("__sl")), "__band")
+        least, most = F.least(least, "min_u"), F.greatest(most, "max_l")  # nulls of the first band are skipped
+    up = F.col("__su") - F.least(F.lit(0.0), least)
+    low = F.col("__sl") - F.greatest(F.lit(0.0), most)
+    return _flagged(finish(d.withColumn("score", F.when(live, F.greatest(up, -low)))), decision)
 
 
 @operator("validation.persistence_detector", "dataset:Dataset", DETECT_OUT, direction=("above", "below", "absolute"))
 def persistence_detector(df, *, column, threshold, direction="above", min_consecutive=3, group_column=None):
     """Flag rows where the last n rows of the group all breach the threshold."""
-    d, w = _series(df, column, group_column, None)
+    d, w, finish = _series(df, column, group_column, None, min_consecutive - 1)
     x = F.col("x")
     breach = {"above": x > threshold, "below": x < threshold, "absolute": F.abs(x) > threshold}[direction].cast("int")
     runs = F.sum(breach).over(w.rowsBetween(-(min_consecutive - 1), 0))
-    return _flagged(d.withColumn("score", F.when(runs >= min_consecutive, 1.0).otherwise(0.0)), 0.5)
+    return _flagged(finish(d.withColumn("score", F.when(runs >= min_consecutive, 1.0).otherwise(0.0))), 0.5)
 
 
 # --- search and comparison ------------------------------------------------------------

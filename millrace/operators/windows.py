@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.durations import as_seconds, seconds
+from millrace.functions.position import positioned
 from millrace.operators.base import RID, OperatorError, guard, need
 
 EPSILON = 1e-6
@@ -80,8 +81,11 @@ def numbered(df: DataFrame, spec: Spec) -> DataFrame:
     else:
         df, label = df.withColumn("group_no", F.lit(0).cast("long")), F.lit("all")
     t = as_seconds(df, spec.time_column) if spec.time_column else F.col(RID).cast("double")
-    w = Window.partitionBy("group_no")
     out = df.withColumn("group_label", label).withColumn("__t", t)
+    if not spec.group_column:
+        out = positioned(out, [F.col("__t").asc(), F.col(RID)], "pos")
+        return out.withColumn("n_group", F.lit(out.count()))
+    w = Window.partitionBy("group_no")
     return out.withColumns({"pos": F.row_number().over(w.orderBy("__t", RID)) - 1, "n_group": F.count("*").over(w)})
 
 
@@ -100,7 +104,8 @@ def _row_windows(rows: DataFrame, spec: Spec) -> DataFrame:
 
 def anchor_chain(rows: DataFrame, span: float, stride: float) -> DataFrame:
     """(group_no, t0): starts of complete windows; the next start is the first sample past the stride."""
-    base = rows.select("group_no", "__t", F.max("__t").over(Window.partitionBy("group_no")).alias("last")).where("__t is not null")
+    timed = rows.select("group_no", "__t").where("__t is not null")
+    base = timed.join(timed.groupBy("group_no").agg(F.max("__t").alias("last")), "group_no")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, due = None, 0.0
