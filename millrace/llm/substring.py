@@ -147,7 +147,7 @@ def high_symbols(one: np.ndarray, two: np.ndarray, first: np.ndarray) -> tuple[n
         open_ = same & (small[1:] | small[:-1])
         if not open_.any():
             break
-        left = (mix(one ^ np.uint64(level + 1) * _A) & np.uint64(1)).astype(bool)
+        left = (mix(one ^ np.array([level + 1], np.uint64) * _A) & np.uint64(1)).astype(bool)
         f = np.flatnonzero(open_ & left[:-1] & ~left[1:])
         one, two, e = one.copy(), two.copy(), e.copy()
         one[f] = mix(one[f] * _C + one[f + 1] + np.uint64(level))
