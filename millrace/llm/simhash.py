@@ -10,12 +10,16 @@ planes; a query updates 64 distances at once with carry-save counters, plane by
 and a block is abandoned once all its distances exceed the radius. A cell returns a
 spanning forest of its links, never all pairs.
 
-The pipeline's stage (``keep_one``) has its own measure: exact Jaccard similarity of 5-word shingle
-sets, over pairs that share a bucket of minimum hashes. At that similarity fingerprints differ in
-about ten bits, too many for blocks of 64 bits to find.
+The pipeline's stage (``keep_one``) takes 5-word shingles and has its own measure, exact Jaccard
+similarity. At 0.8 fingerprints differ in about ten bits, too many for blocks of 64 bits to find,
+so pairs are proposed by the cells above and by buckets of minimum hashes. What lies in one bucket
+but in different classes after the first proposals meets by prefix filtering, which is exact.
 
 Defined results: a null or wordless text has fingerprint zero; null doc_id takes part but
-is never the smallest id; repeated rows return repeated rows; empty input gives none.
+is never the smallest id; repeated rows return repeated rows, and the stage keeps one of them;
+ties between rows of one doc_id go to the first row; a text of any length is counted ``CHUNK``
+shingles at a time; further columns of any name are kept by the stage, ignored by the query;
+empty input gives none.
 """
 
 from __future__ import annotations
@@ -27,13 +31,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from millrace.llm import words as W
 from millrace.llm.arrow import map_batches
 from millrace.llm.components import connected
-from millrace.plans.durable import materialize, release
+from millrace.plans.durable import materialize
 
 RADIUS = 2
 CELL = 1024
@@ -42,6 +47,8 @@ SHINGLE = 3
 #: minimum hashes (a pair at 0.8 shares no bucket in 1 of 12,000 cases, at 0.85 in 1 of 5 million).
 STAGE_SHINGLE, SIMILAR = 5, (4, 5)
 BANDS, BAND_ROWS = 40, 7
+#: Ratio of neighbouring size classes of the prefix filter.
+STEP = 1.05
 #: Shingles whose bits are counted at once, and (query, word) entries compared at once.
 CHUNK, ENTRIES = 65_536, 262_144
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -50,13 +57,17 @@ _FLIP, _MULTIPLY = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * BAN
 _MULTIPLY |= np.uint64(1)
 
 
-def fingerprint(text: str | None) -> int:
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """Unsigned SimHash of one whole text."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return 0
-    grams = map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)))) if len(w) >= SHINGLE else [b" ".join(w)]
-    h = np.fromiter(map(_hash, grams), np.uint64)
+    grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)))) if len(w) >= shingle else [b" ".join(w)]
+    return _majority(np.fromiter(map(_hash, grams), np.uint64))
+
+
+def _majority(h: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), CHUNK):
         ones += np.unpackbits(h[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -72,8 +83,7 @@ def _fingerprint_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
 def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and the signed 64-bit ``fp`` of each text."""
     part = docs.select("text", *keep)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in part.schema if f.name != "text")
-    return map_batches(part, _fingerprint_batch, f"{schema}, fp long")
+    return map_batches(part, _fingerprint_batch, StructType([*part.schema.fields[1:], StructField("fp", LongType())]))
 
 
 def links_in_cells(cell: np.ndarray, fp: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -191,11 +201,16 @@ def _cells(fps: DataFrame) -> DataFrame:
     return rows.select("fp", F.explode(F.when(F.col("n") > CELL, split).otherwise(F.array(F.shiftleft("key", 19)))).alias("cell"))
 
 
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b): distinct fingerprints ``fp`` that differ in at most ``RADIUS`` bits, a spanning forest of each cell."""
+    cells = _cells(fps).repartition("cell").sortWithinPartitions("cell", "fp")
+    return cells.mapInArrow(_link_batches, "a long, b long")
+
+
 def components(prints: DataFrame, id_col: str, keep_for: str = "call") -> DataFrame:
     """(fp, component_id) for every distinct fp of ``prints`` (a materialised table)."""
     reps = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("rep")), "reps", keep_for)
-    cells = _cells(reps.select("fp")).repartition("cell").sortWithinPartitions("cell", "fp")
-    star = connected(cells.mapInArrow(_link_batches, "a long, b long"), "a", "b", keep_for)
+    star = connected(links(reps.select("fp")), "a", "b", keep_for)
     member = star.union(star.select("root", "root").distinct()).join(reps.withColumnRenamed("fp", "node"), "node")
     least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = member.join(least, "root").select(F.col("node").alias("fp"), "component_id")
@@ -213,10 +228,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """Sorted distinct hashes of a text's ``STAGE_SHINGLE``-word shingles (of all of a shorter text)."""
+    """Hashes of a text's ``STAGE_SHINGLE``-word shingles, repeats included (of all of a shorter text)."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = {b" ".join(w)} if len(w) < STAGE_SHINGLE else set(map(b" ".join, zip(*(w[i:] for i in range(STAGE_SHINGLE)))))
-    return np.unique(np.fromiter(map(_hash, grams), np.uint64, len(grams)))
+    grams = [b" ".join(w)] if len(w) < STAGE_SHINGLE else map(b" ".join, zip(*(w[i:] for i in range(STAGE_SHINGLE))))
+    return np.fromiter(map(_hash, grams), np.uint64)
 
 
 def buckets(grams: np.ndarray) -> np.ndarray:
@@ -228,17 +243,20 @@ def buckets(grams: np.ndarray) -> np.ndarray:
 
 
 def _sign_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Two hashes of each text's words, which exact copies share, and its buckets."""
-    key, bands = [], []
+    """Two hashes of each text's words, which exact copies share, its fingerprint and its buckets."""
+    key, fp, bands = [], [], []
     for t in batch.column("text").to_pylist():
         key.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))
-        bands.append(buckets(shingles(t)).view(np.int64))
+        grams = shingles(t)
+        fp.append(_majority(grams))
+        bands.append(buckets(np.unique(grams)).view(np.int64))
     names = ["__rid", "doc_id"]
-    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [*names, "key", "bands"])
+    cols = [pa.array(key, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *cols], [*names, "key", "fp", "bands"])
 
 
 def _set_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-    grams = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
+    grams = [np.unique(shingles(t)).view(np.int64) for t in batch.column("text").to_pylist()]
     return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"])
 
 
@@ -249,20 +267,52 @@ def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where((num + den) * F.size(F.array_intersect("x", "y")) >= num * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def similar_links(member: DataFrame, sets: DataFrame, keep_for: str) -> DataFrame:
+def _size_class(size):
+    return F.floor(F.log(size) / F.log(F.lit(STEP)) + F.lit(1e-9)).cast("int")
+
+
+def prefix_pairs(part: DataFrame, sets: DataFrame, keep_for: str) -> DataFrame:
+    """All (a, b) of different ``part`` that can be similar; ``part`` has node and part, one row a node.
+
+    Shingles are put in one order for all nodes, rare ones first. Let the first common one be at
+    place p of m in a node: the overlap is m - p at most, which a similarity of ``SIMILAR`` bounds
+    below by the sizes of both. So a shingle needs to meet only partners of the sizes that its place
+    allows on either side; shingles that one node alone has come first and meet nobody.
+    """
+    num, den = SIMILAR
+    rows = part.join(sets, "node").select("node", "part", F.size("grams").alias("m"), F.explode("grams").alias("g"))
+    rows = materialize(rows, "grams", keep_for)
+    common = rows.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(common, "g")
+    first = Window.partitionBy("node").orderBy("df", "g")  # bounded by a text
+    place = F.col("m") - F.count("*").over(Window.partitionBy("node")) + F.row_number().over(first) - 1
+    rows = rows.withColumn("left", F.col("m") - place).where(den * F.col("left") >= num * F.col("m"))
+    most = F.expr(f"({num + den} * left - {num} * m) div {num}")  # the largest partner
+    least = F.greatest(F.lit(1), F.expr(f"({num} * m) div {den}"))
+    classes = F.sequence(_size_class(least), _size_class(F.greatest(least, most)))
+    rows = rows.withColumn("own", _size_class(F.col("m"))).withColumn("other", F.explode(classes))
+    rows = materialize(rows.select("g", "node", "part", "m", "left", "own", "other"), "prefixes", keep_for)
+    x = rows.toDF("g", "a", "pa", "ma", "la", "ca", "cb")
+    y = rows.toDF("g", "b", "pb", "mb", "lb", "cb", "ca")
+    fits = (num + den) * F.least("la", "lb") >= num * (F.col("ma") + F.col("mb"))
+    return x.join(y, ["g", "ca", "cb"]).where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits).select("a", "b").distinct()
+
+
+def similar_links(member: DataFrame, sets: DataFrame, keep_for: str, more: DataFrame | None = None) -> DataFrame:
     """(node, root) over the similar pairs that share a bucket; ``member`` has bucket, node, least.
 
-    First each member meets the least of its bucket; then only members of one bucket that are
-    not yet in one component meet, so a cluster of near copies costs no square of its size.
+    First each member meets the least of its bucket, and the pairs (a, b) of ``more`` meet; then
+    members of buckets that still hold several classes meet by ``prefix_pairs``, so neither a
+    cluster of near copies nor the copies that fall short of it cost a square of their number.
     """
-    star = member.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    links = materialize(_similar(star, sets), "links", keep_for)
+    star = member.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    star = star.unionByName(more) if more is not None else star
+    links = materialize(_similar(star.distinct(), sets), "links", keep_for)
     roots = materialize(connected(links, "a", "b", keep_for), "roots", keep_for)
-    part = member.where("node <> least").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
+    part = member.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("part"))
     apart = part.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-    part = materialize(part.join(apart, "bucket", "left_semi"), "apart", keep_for)
-    x, y = part.toDF("bucket", "a", "pa"), part.toDF("bucket", "b", "pb")
-    rest = materialize(_similar(x.join(y, "bucket").where("pa < pb").select("a", "b").distinct(), sets), "links", keep_for)
+    part = materialize(part.join(apart, "bucket", "left_semi").select("node", "part").distinct(), "apart", keep_for)
+    rest = materialize(_similar(prefix_pairs(part, sets, keep_for), sets), "links", keep_for)
     return connected(links.union(rest), "a", "b", keep_for)
 
 
@@ -270,19 +320,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each class of near copies: the least (doc_id, row), columns as they came.
 
     Near copies share at least ``SIMILAR`` of their distinct ``STAGE_SHINGLE``-word shingles; a
-    class is a connected component. Buckets of minimum hashes only propose pairs.
+    class is a connected component. Cells and buckets only propose pairs.
     """
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("__rid"), F.struct(*docs.columns).alias("__row")), "rows", "pipeline")
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("__rid"), W.packed(docs.columns).alias("__row")), "rows", "pipeline")
     part = rows.select("__rid", F.col("__row.doc_id").cast("long").alias("doc_id"), F.col("__row.text").alias("text"))
-    signed = materialize(map_batches(part, _sign_batch, "__rid long, doc_id long, key binary, bands array<long>"), "signed", "pipeline")
-    at = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "__rid", "bands")
-    reps = materialize(signed.groupBy("key").agg(F.min(at).alias("at")).select(F.col("at.__rid").alias("node"), "at.id", "at.bands"), "reps", "pipeline")
+    signed = materialize(map_batches(part, _sign_batch, "__rid long, doc_id long, key binary, fp long, bands array<long>"), "signed", "pipeline")
+    at = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "__rid", "fp", "bands")
+    reps = materialize(signed.groupBy("key").agg(F.min(at).alias("at")).select(F.col("at.__rid").alias("node"), "at.id", "at.fp", "at.bands"), "reps", "pipeline")
+    prints = materialize(reps.groupBy("fp").agg(F.min("node").alias("node")), "prints", "pipeline")
+    near = links(prints.select("fp")).join(prints.toDF("a", "na"), "a").join(prints.toDF("b", "nb"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    equal = reps.select("node", "fp").join(prints.toDF("fp", "b"), "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    near = materialize(near.union(equal), "near", "pipeline")
     member = reps.select("node", F.explode("bands").alias("bucket"))
     busy = member.groupBy("bucket").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     member = materialize(member.join(busy, "bucket").select("bucket", "node", "least"), "members", "pipeline")
-    texts = part.select(F.col("__rid").alias("node"), "text").join(member.select("node").distinct(), "node", "left_semi")
+    wanted = member.select("node").union(near.select("a")).union(near.select("b")).distinct()
+    texts = part.select(F.col("__rid").alias("node"), "text").join(wanted, "node", "left_semi")
     sets = materialize(map_batches(texts, _set_batch, "node long, grams array<long>"), "sets", "pipeline")
-    roots = similar_links(member, sets, "pipeline")
+    roots = similar_links(member, sets, "pipeline", near)
     classes = reps.select("node", "id").join(roots, "node", "left")
     stay = classes.groupBy(F.coalesce("root", "node")).agg(F.min(F.struct("id", "node")).alias("at")).select(F.col("at.node").alias("__rid"))
     return rows.join(stay, "__rid", "left_semi").select("__row.*")

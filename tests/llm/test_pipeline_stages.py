@@ -73,3 +73,42 @@ def test_near_copies_chain(spark):
     sets = spark.createDataFrame([(1, [1, 2]), (2, list(range(10, 30))), (3, list(range(11, 30)))], "node long, grams array<long>")
     member = spark.createDataFrame([(7, n, 1) for n in (1, 2, 3)], "bucket long, node long, least long")
     assert [tuple(r) for r in simhash.similar_links(member, sets, "test").collect()] == [(3, 2)]
+
+
+def test_prefix_pairs_lose_none(spark):
+    """Every similar pair of different parts is proposed; texts of many sizes, and rare and common shingles."""
+    rng = random.Random(12)
+    sets = []
+    for _ in range(12):
+        base = [rng.randint(1, 400) for _ in range(rng.randint(1, 60))]
+        for _ in range(8):
+            sets.append(sorted({x if rng.random() > 0.04 else rng.randint(1, 10**6) for x in base}))
+    df = spark.createDataFrame(list(enumerate(sets)), "node long, grams array<long>")
+    part = spark.createDataFrame([(i, i % 90) for i in range(len(sets))], "node long, part long")
+    got = simhash.prefix_pairs(part, df, "test")
+    near = {(i, j) for j in range(len(sets)) for i in range(j) if i % 90 != j % 90 and 5 * len({*sets[i]} & {*sets[j]}) >= 4 * len({*sets[i]} | {*sets[j]})}
+    proposed = {tuple(r) for r in got.collect()}
+    assert near <= proposed and len(near) > 50
+    assert {tuple(r) for r in simhash._similar(got, df).collect()} == near
+
+
+def test_stages_keep_odd_column_names(spark, tmp_path):
+    """Names with blanks, dots and quotes, and names that the stages use themselves, come through every stage."""
+    from pyspark.sql import functions as F
+
+    odd = ["a b", "a.b", "a`b", "row x", "__row", "__rid", "rid", "h", "skey", "start", "sub", "epoch", "parts", "extra", "base", "node", "bands", "fp", "key", "__c", "word_len"]
+    docs = spark.createDataFrame([r[:4] for r in texts()], "doc_id long, text string, lang string, source string")
+    docs = docs.select("*", *(F.lit(i).alias(c) for i, c in enumerate(odd)))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.count() > 20
+        assert got.select(*(F.col("`" + c.replace("`", "``") + "`") for c in odd)).distinct().collect() == [tuple(range(len(odd)))]
+
+
+def test_mix_follows_content(spark):
+    """The mix does not depend on how rows lie in files."""
+    from millrace.llm import mixing
+
+    docs = spark.createDataFrame([r[:4] for r in texts()], "doc_id long, text string, lang string, source string")
+    a, b = (sorted(map(str, mixing.mix_documents(d).collect())) for d in (docs.repartition(1), docs.orderBy("text").repartition(3)))
+    assert a == b
