@@ -524,9 +524,9 @@ def stationarity(df: DataFrame, *, column, max_lag=0, regression="c", group_colu
 
 
 @operator("explore.dtw", ANY, "statistics:Statistics")
-def dtw_distance(df: DataFrame, *, first_column, second_column, band=0, normalize=True):
-    """Dynamic time warping distance of two columns."""
-    need(df, first_column, second_column)
+def dtw_distance(df: DataFrame, *, first_column, second_column, band=0, normalize=True, group_column=None, time_column=None):
+    """Dynamic time warping distance of two columns, per group."""
+    need(df, first_column, second_column, group_column, time_column)
 
     def row(a, b):
         a, b = a[~np.isnan(a)], b[~np.isnan(b)]
@@ -534,13 +534,13 @@ def dtw_distance(df: DataFrame, *, first_column, second_column, band=0, normaliz
         d, steps = kernels.dtw(a, b, band)
         return {"distance": d, "path_length": steps, "per_step": d / steps}
 
-    return per_series(df, [first_column, second_column], None, None, row, "distance double, path_length long, per_step double")
+    return per_series(df, [first_column, second_column], group_column, time_column, row, "distance double, path_length long, per_step double")
 
 
 @operator("explore.sbd", ANY, "statistics:Statistics")
-def shape_distance(df: DataFrame, *, first_column, second_column, max_lag_fraction=0.5, normalize=True):
-    """Shape-based distance of two columns."""
-    need(df, first_column, second_column)
+def shape_distance(df: DataFrame, *, first_column, second_column, max_lag_fraction=0.5, normalize=True, group_column=None, time_column=None):
+    """Shape-based distance of two columns, per group."""
+    need(df, first_column, second_column, group_column, time_column)
 
     def row(a, b):
         ok = ~(np.isnan(a) | np.isnan(b))
@@ -548,7 +548,7 @@ def shape_distance(df: DataFrame, *, first_column, second_column, max_lag_fracti
         d, lag = kernels.sbd(a, b, max_lag_fraction)
         return {"distance": d, "lag": lag}
 
-    return per_series(df, [first_column, second_column], None, None, row, "distance double, lag long")
+    return per_series(df, [first_column, second_column], group_column, time_column, row, "distance double, lag long")
 
 
 @operator("explore.slope_cosine", ANY, "prediction:Prediction")

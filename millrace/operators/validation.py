@@ -305,13 +305,13 @@ def exponential_smoothing(df, *, column, method="holt", alpha=0.3, beta=0.1, gam
 
 
 @operator("validation.arma", "dataset:Dataset", MODEL_OUT)
-def arma(df, *, column, p=2, q=1, test_size=0.25, iterations=5, time_column=None):
-    """ARMA by iterated least squares with a multi-step tail forecast."""
-    return _forecast(df, column, test_size, None, time_column, lambda y, h: kernels.arma_forecast(y, h, p, q, iterations))
+def arma(df, *, column, p=2, q=1, test_size=0.25, iterations=5, time_column=None, group_column=None):
+    """ARMA by iterated least squares with a multi-step tail forecast of each group."""
+    return _forecast(df, column, test_size, group_column, time_column, lambda y, h: kernels.arma_forecast(y, h, p, q, iterations))
 
 
 @operator("validation.arima", "dataset:Dataset", MODEL_OUT)
-def arima(df, *, column, order=(2, 1, 1), test_size=0.25, trend="c", time_column=None):
+def arima(df, *, column, order=(2, 1, 1), test_size=0.25, trend="c", time_column=None, group_column=None):
     """ARIMA: an ARMA fit of the differenced series, integrated back."""
     p, d, q = order
 
@@ -324,7 +324,7 @@ def arima(df, *, column, order=(2, 1, 1), test_size=0.25, trend="c", time_column
             out = levels[k][-1] + np.cumsum(out)
         return out
 
-    return _forecast(df, column, test_size, None, time_column, fn)
+    return _forecast(df, column, test_size, group_column, time_column, fn)
 
 
 # --- unsupervised detectors -----------------------------------------------------------

@@ -735,7 +735,10 @@ def _(s, sf):
     return keyed(r).select("event_id", F.col("value__center").alias("center"), F.col("value__lower").alias("lo"), F.col("value__upper").alias("hi"))
 
 
-@query("hyperbolic_smoothing")
+@query("hyperbolic_smoothing", f"""WITH d AS (SELECT event_id, value AS x, avg(value) OVER ({W} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS a, (SELECT stddev_pop(value) FROM events) AS s FROM events),
+m AS (SELECT *, a + s * tanh((x - a) / s) AS m FROM d),
+f AS (SELECT event_id, x AS value__value, m AS value__center, m - 3 * s AS value__lower, m + 3 * s AS value__upper, abs(x - m) / s AS value__score, x < m - 3 * s OR x > m + 3 * s AS value__is_anomaly FROM m)
+SELECT *, value__is_anomaly AS is_anomaly FROM f""", "value__value value__center value__lower value__upper value__score", 4)
 def _(s, sf):
     return keyed(explore.anomaly(events(s, sf), columns=["value"], method="hyperbolic_smoothing", group_column="user_id", time_column="ts"))
 
@@ -756,8 +759,8 @@ FREE = {
     "gbr_fit": lambda s, sf: explore.gbr_fit(line_features(s, sf), columns=["l_quantity", "l_discount"], target_column="l_extendedprice", n_estimators=5)["statistics"],
     "hp_filter": lambda s, sf: explore.hp_filter(events(s, sf), column="value", group_column="user_id", time_column="ts").drop("trend"),
     "stationarity": lambda s, sf: explore.stationarity(events(s, sf), column="value", group_column="user_id", time_column="ts", max_lag=2),
-    "dtw": lambda s, sf: explore.dtw_distance(events(s, sf).where("user_id < 3"), first_column="value", second_column="event_id", band=20),
-    "sbd": lambda s, sf: explore.shape_distance(events(s, sf).where("user_id < 20"), first_column="value", second_column="event_id"),
+    "dtw": lambda s, sf: explore.dtw_distance(events(s, sf), first_column="value", second_column="event_id", band=20, group_column="user_id", time_column="ts"),
+    "sbd": lambda s, sf: explore.shape_distance(events(s, sf), first_column="value", second_column="event_id", group_column="user_id", time_column="ts"),
 }
 for _n, _f in FREE.items():
     query(_n)(_f)
@@ -779,9 +782,9 @@ def _(s, sf):
     return _points(s, visual.scatter(events(s, sf), x="event_id", y="value"))
 
 
-@query("visual_line", STRIDE.format(c="'value' AS series, event_id::DOUBLE AS x, value AS y", w="WHERE user_id = 3"), "x y")
+@query("visual_line", STRIDE.format(c="'value' AS series, event_id::DOUBLE AS x, value AS y", w=""), "x y")
 def _(s, sf):
-    return _points(s, visual.line(events(s, sf).where("user_id = 3"), time_column="event_id", value_columns=["value"]))
+    return _points(s, visual.line(events(s, sf), time_column="event_id", value_columns=["value"]))
 
 
 @query("visual_subplot", STRIDE.format(c="'value' AS series, event_id::DOUBLE AS x, value AS y", w=""), "x y")
@@ -881,7 +884,18 @@ def _(s, sf):
     return _flags(validation.seasonal_detector(events(s, sf), column="value", period=5, **SPEC))
 
 
-@query("autoregression_detector")
+#: Two lags: the normal equations of centred moments by Cramer's rule.
+AUTOREGRESSION = f"""WITH d AS (SELECT user_id, event_id, value AS x, lag(value, 1) OVER w AS l1, lag(value, 2) OVER w AS l2, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS ({W})),
+t AS (SELECT *, pos < floor(n * 0.5) AS train FROM d),
+m AS (SELECT user_id, avg(x) AS my, avg(l1) AS m1, avg(l2) AS m2, var_pop(l1) AS a, covar_pop(l1, l2) AS b, var_pop(l2) AS c, covar_pop(l1, x) AS p, covar_pop(l2, x) AS q FROM t WHERE train AND pos >= 2 GROUP BY user_id),
+k AS (SELECT user_id, my, m1, m2, (p * c - q * b) / (a * c - b * b) AS b1, (q * a - p * b) / (a * c - b * b) AS b2 FROM m),
+r AS (SELECT t.*, x - (my - b1 * m1 - b2 * m2 + b1 * l1 + b2 * l2) AS r FROM t JOIN k USING (user_id)),
+g AS (SELECT user_id, median(r) AS mid FROM r WHERE train AND pos >= 2 GROUP BY user_id),
+s AS (SELECT user_id, 1.4826 * median(abs(r - mid)) AS s FROM r JOIN g USING (user_id) WHERE train AND pos >= 2 GROUP BY user_id)
+SELECT event_id, CASE WHEN NOT train AND s > 0 THEN abs(r) / s END AS score, coalesce(NOT train AND s > 0 AND abs(r) / s > 4, false) AS bad FROM r JOIN s USING (user_id)"""
+
+
+@query("autoregression_detector", AUTOREGRESSION, "score", 3)
 def _(s, sf):
     return _flags(validation.autoregression_detector(events(s, sf), column="value", **SPEC))
 
@@ -961,30 +975,56 @@ for _n in ("linear_regression", "ridge"):
         return getattr(validation, n)(feature.select(t, columns=["l_quantity", "l_discount"]), data.labels(t, column="l_extendedprice"))["prediction"]
 
 
-@query("holt")
+HOLT = """WITH RECURSIVE o AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+c AS (SELECT *, n - greatest(1, round_even(n * 0.25, 0))::BIGINT AS k FROM o),
+t AS (SELECT user_id, min_by(v, i) AS level, (max_by(v, i) - min_by(v, i)) / (count(*) - 1) AS trend FROM c WHERE i <= least(k, 5) GROUP BY user_id),
+r(user_id, i, level, trend) AS (SELECT user_id, 1::BIGINT, level, trend FROM t UNION ALL
+  SELECT user_id, i, level, 0.1 * (level - was) + 0.9 * trend FROM (SELECT c.user_id, c.i, r.level AS was, 0.3 * c.v + 0.7 * (r.level + r.trend) AS level, r.trend FROM r JOIN c ON c.user_id = r.user_id AND c.i = r.i + 1 AND c.i <= c.k))
+SELECT c.user_id::VARCHAR AS series, c.i - c.k AS step, c.v AS actual, r.level + (c.i - c.k) * r.trend AS prediction FROM c JOIN r ON r.user_id = c.user_id AND r.i = c.k WHERE c.i > c.k"""
+
+
+@query("holt", HOLT, "actual prediction", 4)
 def _(s, sf):
     return validation.exponential_smoothing(events(s, sf), column="value", group_column="user_id", time_column="ts")["prediction"]
 
 
 @query("arma")
 def _(s, sf):
-    return validation.arma(events(s, sf).where("user_id = 3"), column="value", time_column="ts")["prediction"]
+    return validation.arma(events(s, sf), column="value", group_column="user_id", time_column="ts")["prediction"]
 
 
 @query("arima")
 def _(s, sf):
-    return validation.arima(events(s, sf).where("user_id = 3"), column="value", time_column="ts")["prediction"]
+    return validation.arima(events(s, sf), column="value", group_column="user_id", time_column="ts")["prediction"]
 
 
+#: Distances of all pairs of standardised embeddings.
+PAIRS = """u AS (SELECT vec_id, generate_subscripts(embedding, 1) AS k, unnest(embedding)::DOUBLE AS x FROM embeddings),
+s AS (SELECT k, avg(x) AS m, coalesce(nullif(stddev_pop(x), 0), 1) AS s FROM u GROUP BY k),
+z AS (SELECT vec_id, list((x - m) / s ORDER BY k) AS z FROM u JOIN s USING (k) GROUP BY vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS other, list_distance(a.z, b.z) AS d FROM z AS a, z AS b)"""
+DBSCAN = """WITH {pairs}, near AS (SELECT * FROM p WHERE d <= {eps}), core AS (SELECT vec_id FROM near GROUP BY vec_id HAVING count(*) >= 5)
+SELECT z.vec_id, coalesce(min(d), 'inf'::DOUBLE) AS score, min(d) IS NULL AS is_anomaly FROM z LEFT JOIN (SELECT near.* FROM near JOIN core ON other = core.vec_id) AS c ON c.vec_id = z.vec_id GROUP BY z.vec_id"""
+DETECTORS = {
+    "knn_detector": f"""WITH {PAIRS}, r AS (SELECT vec_id, d, row_number() OVER (PARTITION BY vec_id ORDER BY d) AS r FROM p), t AS (SELECT vec_id, avg(d) AS score FROM r WHERE r <= 5 GROUP BY vec_id)
+SELECT vec_id, score, score >= (SELECT quantile_cont(score, 0.95) FROM t) AS is_anomaly FROM t""",
+    "dbscan_detector": DBSCAN.format(pairs=PAIRS, eps=1),
+}
 for _n in ("knn_detector", "isolation_forest_detector", "dbscan_detector", "pca_detector", "min_cluster_detector", "one_class_svm"):
     _p = {"min_cluster_detector": {"n_clusters": 4}, "pca_detector": {"n_components": 2}}.get(_n, {})
 
-    @query(_n)
+    @query(_n, DETECTORS.get(_n), "score", 4)
     def _(s, sf, n=_n, p=_p):
         e = embedded(s, sf)
         return keyed(getattr(validation, n)(e, columns=elements(e), **p)["prediction"], "vec_id").select("vec_id", "score", "is_anomaly")
 
 
+@query("dbscan_wide", DBSCAN.format(pairs=PAIRS, eps=9.4), "score", 4)
+def _(s, sf):
+    e = embedded(s, sf)
+    return keyed(validation.dbscan_detector(e, columns=elements(e), eps=9.4)["prediction"], "vec_id").select("vec_id", "score", "is_anomaly")
+
+
 @query("kmeans")
 def _(s, sf):
     e = embedded(s, sf)
