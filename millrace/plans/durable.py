@@ -53,7 +53,7 @@ def materialize(df: DataFrame, tag: str = "table", keep_for: str = "call") -> Da
     finally:
         spark.conf.set(CLEANUP, before)
     if not _written:
-        atexit.register(_release_all)
+        atexit.register(_at_exit)
     _written.setdefault(keep_for, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -64,12 +64,15 @@ def release(spark: SparkSession, keep_for: str = "call") -> None:
         _delete(spark, path)
 
 
-def _release_all() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        return
+def release_all(spark: SparkSession) -> None:
+    """Delete every table written here; no DataFrame made so far may be read any more."""
     for key in list(_written):
+        release(spark, key)
+
+
+def _at_exit() -> None:
+    if (spark := SparkSession.getActiveSession()) is not None:
         try:
-            release(spark, key)
+            release_all(spark)
         except Exception:  # the JVM may already be gone
             return
