@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels
+from millrace.functions.neighbours import Neighbours
 from millrace.functions.position import before_bands, exact_quantiles
 from millrace.operators import evaluation as ev
 from millrace.operators.base import RID, OperatorError, guard, in_order, need, num, numeric_columns, operator
@@ -29,8 +30,6 @@ SPLITS = ("stratified", "group", "asset", "temporal")
 MODEL_IN = "features:FeatureDataset labels:LabelVector"
 MODEL_OUT = "model:Model prediction:Prediction metrics:Metrics"
 DETECT_OUT = "model:Model prediction:Prediction metrics:Metrics"
-#: Rows a driver-side fit (kernel machines, neighbours, trees on samples) may use.
-SAMPLE = 5000
 #: Classes fitted against the rest at a time.
 CLASSES_AT_ONCE = 4
 
@@ -385,24 +384,37 @@ def _detect(df: DataFrame, columns, score_of, contamination: float | None, inclu
     return {"model": model, "prediction": pred, "metrics": {"rows": n, "anomalies": hit, "threshold": float(threshold)}}
 
 
-@operator("validation.knn_detector", "dataset:Dataset", DETECT_OUT)
-def knn_detector(df, *, columns=(), contamination=0.05, neighbors=5):
-    """Mean distance to the nearest rows (itself included) of a bounded reference sample."""
+class NeighbourDetector(Detector):
+    """Mean distance to the nearest training rows, searched rather than computed from columns."""
 
-    def fit(scaled, used):
-        ref = _sample(scaled, used, SAMPLE)
-        k = min(neighbors, len(ref))
+    def __init__(self, columns, stat, search: Neighbours):
+        super().__init__(columns, None, math.inf, True)
+        self.stat, self.search = stat, search
 
-        def fn(x):
-            out = np.empty(len(x))
-            for at in range(0, len(x), 256):
-                d = np.sqrt(((x[at : at + 256, None, :] - ref) ** 2).sum(-1))
-                out[at : at + 256] = np.partition(d, k - 1, axis=1)[:, :k].mean(1)
-            return out
+    def scored(self, df: DataFrame) -> DataFrame:
+        x = F.array(*(_scaled(c, self.stat[c]) for c in self.columns))
+        rows = df.select(RID, F.when(~F.exists(x, lambda v: v.isNull()), x).alias("x"))
+        return rows.join(self.search.mean_distance(rows.where("x is not null")), "x", "left").select(RID, "score")
 
-        return fn
+    def predict(self, df: DataFrame, scored: DataFrame | None = None) -> DataFrame:
+        scored = self.scored(df) if scored is None else scored
+        return scored.select(RID, "score", (F.col("score") >= F.lit(self.threshold)).alias("is_anomaly"))
 
-    return _detect(df, columns, fit, contamination, True)
+
+@operator("validation.knn_detector", "dataset:Dataset", DETECT_OUT)
+def knn_detector(df, *, columns=(), contamination=0.05, neighbors=5):
+    """Mean distance to the nearest of all rows (a row itself included), exact at every size."""
+    used = numeric_columns(df, columns)
+    stat = _scaling(df, used)
+    scaled = df.select(RID, *(_scaled(c, stat[c]).alias(c) for c in used))
+    guard(scaled, **{f"c{i}": (F.col(c).isNull(), f"{c} has missing values") for i, c in enumerate(used)})
+    model = NeighbourDetector(used, stat, Neighbours(scaled.select(F.array(*used).alias("x")), len(used), min(neighbors, max(1, df.count()))))
+    scored = materialize(model.scored(df), "scored")
+    if (cut := exact_quantiles(scored, {"s": F.col("score")}, (1 - contamination,))["s"][0]) is not None:
+        model.threshold = float(cut)
+    pred = model.predict(df, scored)
+    n, hit = pred.agg(F.count("*"), F.count_if("is_anomaly")).first()
+    return {"model": model, "prediction": pred, "metrics": {"rows": n, "anomalies": hit, "threshold": model.threshold}}
 
 
 @operator("validation.isolation_forest_detector", "dataset:Dataset", DETECT_OUT)
