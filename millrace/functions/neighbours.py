@@ -26,7 +26,7 @@ BLOCK_BYTES, QUERIES = 1 << 22, 1 << 18
 AT_ONCE = 512
 
 
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances by products: fit to choose by, not to report."""
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0.0)
 
@@ -37,7 +37,7 @@ def nearest_in_block(x: np.ndarray, points: np.ndarray, copies: np.ndarray, k: i
     few = min(k, len(points))
     for at in range(0, len(x) if few else 0, AT_ONCE):
         q = x[at : at + AT_ONCE]
-        pick = np.argpartition(_squares(q, points), few - 1, axis=1)[:, :few]
+        pick = np.argpartition(squares(q, points), few - 1, axis=1)[:, :few]
         d = np.sqrt(((q[:, None, :] - points[pick]) ** 2).sum(-1))
         order = np.argsort(d, axis=1)
         d, n = np.take_along_axis(d, order, 1), np.take_along_axis(np.minimum(copies, k)[pick], order, 1)
@@ -72,7 +72,7 @@ class Neighbours:
             cell, gap = np.zeros(len(v), np.int32), np.zeros(len(v))
             for at in range(0, len(v), AT_ONCE):
                 x = np.array(v.iloc[at : at + AT_ONCE].tolist(), float)
-                c = _squares(x, pivots).argmin(1)
+                c = squares(x, pivots).argmin(1)
                 cell[at : at + AT_ONCE], gap[at : at + AT_ONCE] = c, np.sqrt(((x - pivots[c]) ** 2).sum(1))
             return pd.DataFrame({"cell": cell, "gap": gap})
 
@@ -122,7 +122,7 @@ class Neighbours:
                 x = np.array(v.iloc[at : at + AT_ONCE].tolist(), float)
                 far = np.array([b[-1] for b in best.iloc[at : at + AT_ONCE]])
                 room = 1e-6 * (1 + np.sqrt((x * x).sum(1))[:, None] + np.sqrt((pivots * pivots).sum(1)))  # rounding of products
-                visit = (blocks > 0) & (np.sqrt(_squares(x, pivots)) - radius - room <= far[:, None])
+                visit = (blocks > 0) & (np.sqrt(squares(x, pivots)) - radius - room <= far[:, None])
                 for go, c, s in zip(visit, cell.iloc[at : at + AT_ONCE], sub.iloc[at : at + AT_ONCE]):
                     out.append([{"cell": int(i), "sub": b} for i in np.flatnonzero(go) for b in range(blocks[i]) if (i, b) != (c, s)])
             return pd.Series(out)

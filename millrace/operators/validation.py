@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels
-from millrace.functions.neighbours import Neighbours
+from millrace.functions.neighbours import Neighbours, squares
 from millrace.functions.position import before_bands, exact_quantiles
 from millrace.operators import evaluation as ev
 from millrace.operators.base import RID, OperatorError, guard, in_order, need, num, numeric_columns, operator
 from millrace.operators.explore import per_series
 from millrace.operators.feature import feature_columns, principal_axes
-from millrace.plans.durable import materialize
+from millrace.plans.durable import materialize, release
 
 SPLITS = ("stratified", "group", "asset", "temporal")
 MODEL_IN = "features:FeatureDataset labels:LabelVector"
@@ -419,11 +419,11 @@ def knn_detector(df, *, columns=(), contamination=0.05, neighbors=5):
 
 @operator("validation.isolation_forest_detector", "dataset:Dataset", DETECT_OUT)
 def isolation_forest_detector(df, *, columns=(), contamination=0.05, random_state=42, n_estimators=100):
-    """Isolation forest grown on seeded samples of 256 rows."""
+    """Isolation forest: every tree grows on 256 rows, as the method has it, out of a seeded draw of 256 a tree."""
 
     def fit(scaled, used):
         rng = np.random.default_rng(random_state)
-        pool = _sample(scaled, used, 256 * 20, random_state)
+        pool = _sample(scaled, used, 256 * n_estimators, random_state)
         size = min(256, len(pool))
         deep = max(1, math.ceil(math.log2(max(size, 2))))
         norm = lambda n: 0.0 if n < 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
@@ -515,41 +515,118 @@ def kmeans(df, *, columns=(), n_clusters=0, max_clusters=8, batch_size=1024, sil
     return {"model": centres, "prediction": pred, "metrics": {"clusters": len(centres), "sizes": sizes}}
 
 
+#: Rows whose kernels span the one-class function; up to as many rows it is the exact dual solution.
+LANDMARKS = 1000
+#: Passes over all rows and the relative duality gap that end a fit early; the metrics give the gap reached.
+PASSES, GAP = 60, 1e-3
+#: Rows whose kernel values are held at once.
+KERNEL_ROWS = 512
+
+
+def _least_weights(gram: np.ndarray, cap: float, tolerance: float, moves: int) -> np.ndarray:
+    """Weights up to ``cap`` with sum 1 of least ``a @ gram @ a``, moved between the most violating pair."""
+    a = np.full(len(gram), 1 / len(gram))
+    grad = gram @ a
+    for _ in range(moves):
+        up, down = np.where(a < cap - 1e-12, grad, np.inf), np.where(a > 1e-12, grad, -np.inf)
+        i, j = int(np.argmin(up)), int(np.argmax(down))
+        if down[j] - up[i] < tolerance:
+            break
+        curve = max(gram[i, i] + gram[j, j] - 2 * gram[i, j], 1e-12)
+        d = min((grad[j] - grad[i]) / curve, cap - a[i], a[j])
+        a[i] += d
+        a[j] -= d
+        grad += d * (gram[:, i] - gram[:, j])
+    return a
+
+
+def _in_parts(fn):
+    """``fn`` over ``KERNEL_ROWS`` rows at a time."""
+    return lambda v: np.concatenate([fn(v[at : at + KERNEL_ROWS]) for at in range(0, max(len(v), 1), KERNEL_ROWS)])
+
+
+def _whole_margin(points: DataFrame, total: int, z: np.ndarray, kern, nu: float, c: np.ndarray):
+    """(coefficients, offset, gap, passes) of the one-class function of all rows in the span of z.
+
+    The dual is the shortest vector of the hull of means of ``nu * total`` rows. Every pass adds
+    the mean of the rows that lie lowest under the present function; the best mixture of the
+    means so far is a small problem of the driver.
+    """
+    spark, share = points.sparkSession, nu * total
+    own = kern(z, z)
+    least = 1e-3 * float(np.diag(own).mean())  # a hull that holds the origin has no margin: its size goes to 0
+    values, axes = np.linalg.eigh(own)
+    keep = values > 1e-10 * values[-1]
+    inverse = (axes[:, keep] / values[keep]) @ axes[:, keep].T
+    means, lead, gap = [], None, math.inf
+    for done in range(PASSES + 1):
+        scored = materialize(points.select(_array_udf(_in_parts(lambda v: kern(v, z) @ c))("x").alias("f")), "margin", "one_class")
+        rank = min(total, max(1, math.ceil(share))) - 1
+        rho = float(exact_quantiles(scored, {"f": F.col("f")}, (rank / max(1, total - 1),))["f"][0])
+        release(spark, "one_class")
+        if done == PASSES or gap < GAP:
+            return c, rho, gap, done
+        near = 1e-9 * abs(rho) + 1e-15
+
+        def run(batches):
+            low, even = np.zeros(len(z) + 1), np.zeros(len(z) + 1)  # the last slot counts rows
+            for t in batches:
+                for at in range(0, len(t), KERNEL_ROWS):
+                    k = kern(np.array(t["x"].iloc[at : at + KERNEL_ROWS].tolist(), float), z)
+                    f, k = k @ c, np.c_[k, np.ones(len(k))]
+                    low += k[f < rho - near].sum(0)
+                    even += k[np.abs(f - rho) <= near].sum(0)
+            yield pd.DataFrame({"slot": np.arange(len(low)), "low": low, "even": even})
+
+        sums = points.mapInPandas(run, "slot long, low double, even double").groupBy("slot").agg(F.sum("low").alias("low"), F.sum("even").alias("even")).toPandas().sort_values("slot")
+        low, even = sums["low"].to_numpy(), sums["even"].to_numpy()
+        mean = ((low + even * (share - low[-1]) / max(even[-1], 1.0)) / share)[:-1]  # equal rows share what is left
+        if lead is not None:
+            size = float(lead @ inverse @ lead)
+            gap = (size - float(mean @ c)) / max(size, least)
+            if gap < GAP:
+                return c, rho, gap, done
+        means.append(mean)
+        m = np.array(means)
+        gram = m @ inverse @ m.T
+        lead = _least_weights(gram, 1.0, 1e-9 * float(np.abs(gram).max()), 20_000) @ m
+        c = inverse @ lead
+
+
 @operator("validation.one_class_svm", "dataset:Dataset", DETECT_OUT, kernel=("rbf", "linear", "poly", "sigmoid"))
 def one_class_svm(df, *, columns=(), nu=0.05, kernel="rbf", gamma="scale"):
-    """One-class decision values (negative is anomalous), the dual solved on a bounded sample."""
+    """One-class decision values (negative is anomalous) that every row helps to fix.
+
+    Up to ``LANDMARKS`` rows the dual is solved exactly. Beyond them the function is a combination of
+    the kernels of as many rows of least hash, fitted by passes over all rows.
+    """
     used = numeric_columns(df, columns)
     stat = _scaling(df, used)
     scaled = df.select(RID, *(_scaled(c, stat[c]).alias(c) for c in used))
-    x = _sample(scaled, used, 1000)
+    z, total = _sample(scaled, used, LANDMARKS), scaled.count()
     g = 1 / len(used) if gamma in ("scale", "auto") else float(gamma)
     kern = {
-        "rbf": lambda a, b: np.exp(-g * ((a[:, None, :] - b) ** 2).sum(-1)), "linear": lambda a, b: a @ b.T,
+        "rbf": lambda a, b: np.exp(-g * squares(a, b)), "linear": lambda a, b: a @ b.T,
         "poly": lambda a, b: (g * a @ b.T) ** 3, "sigmoid": lambda a, b: np.tanh(g * a @ b.T),
     }[kernel]
-    k, n = kern(x, x), len(x)
-    cap = 1 / (nu * n)
-    a = np.full(n, 1 / n)
-    for _ in range(5000):  # move weight between the most violating pair
-        grad = k @ a
-        up, down = np.where(a < cap - 1e-12, grad, np.inf), np.where(a > 1e-12, grad, -np.inf)
-        i, j = int(np.argmin(up)), int(np.argmax(down))
-        if down[j] - up[i] < 1e-6:
-            break
-        curve = max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
-        d = min((grad[j] - grad[i]) / curve, cap - a[i], a[j])
-        a[i] += d
-        a[j] -= d
-    grad = k @ a
-    inner = (a > 1e-9) & (a < cap - 1e-9)
-    rho = float(grad[inner].mean() if inner.any() else np.quantile(grad, nu))
-    live = a > 1e-12
-    sv, w = x[live], a[live]
-    score = _array_udf(lambda v: kern(v, sv) @ w - rho)(F.array(*(_scaled(c, stat[c]) for c in used)))
+    k, cap = kern(z, z), 1 / (nu * max(len(z), 1))
+    c = _least_weights(k, cap, 1e-6, 5000)
+    fit = {}
+    if total > len(z):
+        points = materialize(scaled.select(F.array(*used).alias("x")), "points")
+        c, rho, gap, passes = _whole_margin(points, total, z, kern, nu, c)
+        fit = {"gap": gap, "passes": passes}
+    else:
+        grad = k @ c
+        inner = (c > 1e-9) & (c < cap - 1e-9)
+        rho = float(grad[inner].mean() if inner.any() else np.quantile(grad, nu))
+    live = np.abs(c) > 1e-12
+    sv, w = z[live], c[live]
+    score = _array_udf(_in_parts(lambda v: kern(v, sv) @ w - rho))(F.array(*(_scaled(c, stat[c]) for c in used)))
     model = Detector(used, score, 0.0, False, above=False)
     pred = model.predict(df)
     total, hit = pred.agg(F.count("*"), F.count_if("is_anomaly")).first()
-    return {"model": model, "prediction": pred, "metrics": {"rows": total, "anomalies": hit, "support_vectors": int(live.sum())}}
+    return {"model": model, "prediction": pred, "metrics": {"rows": total, "anomalies": hit, "support_vectors": int(live.sum())} | fit}
 
 
 @operator("validation.dbscan_detector", "dataset:Dataset", DETECT_OUT, metric=("euclidean", "manhattan", "chebyshev"))

@@ -52,3 +52,27 @@ def test_an_empty_table_has_no_scores(spark):
     df = spark.createDataFrame([], f"{RID} long, c0 double")
     out = validation.knn_detector(df, columns=["c0"])
     assert out["prediction"].count() == 0 and out["metrics"]["anomalies"] == 0
+
+
+def test_one_class_svm_of_more_rows_than_landmarks(spark, monkeypatch):
+    """All rows decide: the function fitted in the span of a fifth of the rows is close to the exact one."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(5, 1, size=(900, 3)), rng.normal(5, 6, size=(30, 3))])
+    df, names = frame(spark, x)
+    exact = validation.one_class_svm(df, columns=names, nu=0.1)
+    assert "gap" not in exact["metrics"]
+    monkeypatch.setattr(validation, "LANDMARKS", 200)
+    fitted = validation.one_class_svm(df, columns=names, nu=0.1)
+    assert fitted["metrics"]["gap"] < validation.GAP
+    a, b = ({r[RID]: r["score"] for r in m["prediction"].collect()} for m in (exact, fitted))
+    assert 0.07 * len(x) <= fitted["metrics"]["anomalies"] <= 0.11 * len(x)
+    assert np.corrcoef([a[i] for i in sorted(a)], [b[i] for i in sorted(b)])[0, 1] > 0.99
+    assert sum((a[i] < 0) != (b[i] < 0) for i in a) <= 0.02 * len(x)
+
+
+def test_one_class_svm_without_a_margin_ends(spark, monkeypatch):
+    """Standardised columns lie around the origin, where a linear one-class function is zero."""
+    df, names = frame(spark, np.random.default_rng(6).normal(size=(300, 3)))
+    monkeypatch.setattr(validation, "LANDMARKS", 100)
+    fitted = validation.one_class_svm(df, columns=names, nu=0.1, kernel="linear")
+    assert fitted["metrics"]["gap"] < validation.GAP and fitted["metrics"]["anomalies"] <= 0.12 * 300
