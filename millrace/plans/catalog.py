@@ -487,9 +487,17 @@ SELECT event_id, CASE WHEN p >= 3 THEN CASE WHEN s > 1e-12 THEN c / s ELSE 0 END
         return keyed(r).select("event_id", F.col([c for c in r.columns if c != RID][0]).alias("v"))
 
 
-@query("temporal_peak_count")
+#: Runs of equal values of a user's series; a peak run lies above both neighbours (r: rows, k: peak runs from f to l).
+RUNS = f"""r AS (SELECT event_id, user_id, value, row_number() OVER ({W}) - 1 AS i FROM events),
+u AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS run FROM (SELECT *, coalesce(value <> lag(value) OVER (PARTITION BY user_id ORDER BY i), true)::INT AS new FROM r)),
+v AS (SELECT user_id, run, min(i) AS f, max(i) AS l, any_value(value) AS level FROM u GROUP BY user_id, run),
+k AS (SELECT * FROM (SELECT *, lag(level) OVER o AS before, lead(level) OVER o AS after FROM v WINDOW o AS (PARTITION BY user_id ORDER BY run)) WHERE level > before AND level > after)"""
+
+
+@query("temporal_peak_count", f"WITH {RUNS} SELECT r.event_id, count(k.run)::DOUBLE AS v FROM r LEFT JOIN k ON k.user_id = r.user_id AND k.f > r.i - 19 AND k.l < r.i GROUP BY r.event_id", "v")
 def _(s, sf):
-    return keyed(feature.temporal(events(s, sf), columns=["value"], method="peak_count", window=20, group_column="user_id", time_column="ts"))
+    r = keyed(feature.temporal(events(s, sf), columns=["value"], method="peak_count", window=20, group_column="user_id", time_column="ts"))
+    return r.select("event_id", F.col("value__peak_count_20").alias("v"))
 
 
 @query("entropy_hist_windows", f"""WITH {row_windows(20, 20)}, b AS (SELECT no, start, least(floor((value - lo) / (hi - lo) * 16), 15) AS b FROM (SELECT *, min(value) OVER (PARTITION BY no, start) AS lo, max(value) OVER (PARTITION BY no, start) AS hi FROM w)),
@@ -499,26 +507,66 @@ def _(s, sf):
     return out.select("window_id", F.col("value__information_entropy").alias("h"))
 
 
-@query("entropy_approximate")
+#: Templates of two and of three values; every one is compared with all of its window.
+APEN = f"""WITH {row_windows(20, 20)}, t AS (SELECT no, start, pos - start AS i, value AS a, lead(value) OVER o AS b, lead(value, 2) OVER o AS c, 0.2 * stddev_pop(value) OVER (PARTITION BY no, start) AS r FROM w WINDOW o AS (PARTITION BY no, start ORDER BY pos)),
+two AS (SELECT p.no, p.start, p.i, avg((greatest(abs(p.a - q.a), abs(p.b - q.b)) <= p.r)::INT) AS c FROM t AS p JOIN t AS q USING (no, start) WHERE p.i <= 18 AND q.i <= 18 GROUP BY ALL),
+three AS (SELECT p.no, p.start, p.i, avg((greatest(abs(p.a - q.a), abs(p.b - q.b), abs(p.c - q.c)) <= p.r)::INT) AS c FROM t AS p JOIN t AS q USING (no, start) WHERE p.i <= 17 AND q.i <= 17 GROUP BY ALL)
+SELECT {WID}, phi - psi AS v FROM (SELECT no, start, avg(ln(c)) AS phi FROM two GROUP BY ALL) JOIN (SELECT no, start, avg(ln(c)) AS psi FROM three GROUP BY ALL) USING (no, start)"""
+
+
+@query("entropy_approximate", APEN, "v")
 def _(s, sf):
-    return feature.entropy(events(s, sf), columns=["value"], methods=["approximate_entropy"], window_size=20, **SPEC)
+    out = feature.entropy(events(s, sf), columns=["value"], methods=["approximate_entropy"], window_size=20, **SPEC)
+    return out.select("window_id", F.col("value__approximate_entropy").alias("v"))
+
+
+#: A discrete Fourier transform of 32 tapered samples, bin by bin.
+DFT = f"""WITH {row_windows(32, 32)}, t AS (SELECT no, start, pos - start AS i, value - avg(value) OVER (PARTITION BY no, start) AS x, 0.5 - 0.5 * cos(2 * pi() * (pos - start) / 31) AS h FROM w),
+d AS (SELECT no, start, k, sum(x * h * cos(2 * pi() * k * i / 32)) AS re, sum(x * h * sin(2 * pi() * k * i / 32)) AS im, sum(h) AS taper FROM t, range(1, 17) AS b(k) GROUP BY ALL),
+p AS (SELECT no, start, k, k / 32 AS f, (re * re + im * im) AS p, CASE WHEN k = 16 THEN 1 ELSE 2 END * sqrt(re * re + im * im) / taper AS amp FROM d),
+q AS (SELECT *, p / sum(p) OVER z AS e, first_value(k) OVER (PARTITION BY no, start ORDER BY amp DESC, k) AS top, sum(p * f) OVER z / sum(p) OVER z AS centre FROM p WINDOW z AS (PARTITION BY no, start)),
+m AS (SELECT no, start, sqrt(sum(x * x * h * h) / sum(h * h)) AS rms FROM t GROUP BY ALL)
+SELECT {WID}, any_value(top) / 32 AS dominant_frequency, max(amp) AS dominant_amplitude, any_value(centre) AS spectral_centroid, sqrt(sum((f - centre) ** 2 * e)) AS spectral_spread, -sum(e * ln(e)) / ln(16) AS spectral_entropy,
+any_value(rms) AS spectral_rms, sum(e) FILTER (k > 8) AS high_frequency_ratio, coalesce(sum(e) FILTER (k IN (2 * top, 3 * top, 4 * top, 5 * top) AND k < 16), 0) AS harmonic_ratio,
+sum(e) FILTER (k <= 4) AS band_energy_ratio_0, sum(e) FILTER (k > 4 AND k <= 8) AS band_energy_ratio_1, sum(e) FILTER (k > 8) AS band_energy_ratio_2 FROM q JOIN m USING (no, start) GROUP BY no, start"""
+SPECTRUM = "dominant_frequency dominant_amplitude spectral_centroid spectral_spread spectral_entropy spectral_rms high_frequency_ratio harmonic_ratio band_energy_ratio_0 band_energy_ratio_1 band_energy_ratio_2"
 
 
-@query("spectral_windows")
+@query("spectral_windows", DFT, SPECTRUM)
 def _(s, sf):
     from millrace.functions.kernels import SPECTRAL
 
-    return feature.spectral(events(s, sf), columns=["value"], features=list(SPECTRAL), sampling_rate=1.0, window_size=32, **SPEC)
+    out = feature.spectral(events(s, sf), columns=["value"], features=list(SPECTRAL), sampling_rate=1.0, window_size=32, **SPEC)
+    return out.select("window_id", *(F.col(f"value__{n}").alias(n) for n in SPECTRUM.split()))
 
 
-@query("wavelet_rows")
+#: Haar details of the trailing 16 values (the oldest one stands in for missing ones) and their robust peaks.
+HAAR = f"""WITH {RUNS}, a AS (SELECT p.event_id, j, q.value AS x FROM r AS p, range(16) AS b(j), r AS q WHERE q.user_id = p.user_id AND q.i = greatest(0, p.i - 15 + j)),
+one AS (SELECT event_id, j // 2 AS j, sum(x) AS x, (max(x) - min(x)) ** 2 / 2 AS e FROM a GROUP BY event_id, j // 2), two AS (SELECT event_id, j // 2 AS j, sum(x) AS x, (max(x) - min(x)) ** 2 / 4 AS e FROM one GROUP BY event_id, j // 2),
+three AS (SELECT event_id, j // 2 AS j, (max(x) - min(x)) ** 2 / 8 AS e FROM two GROUP BY event_id, j // 2),
+e AS (SELECT event_id, a, b, c, a + b + c AS t FROM (SELECT event_id, sum(e) AS a FROM one GROUP BY ALL) JOIN (SELECT event_id, sum(e) AS b FROM two GROUP BY ALL) USING (event_id) JOIN (SELECT event_id, sum(e) AS c FROM three GROUP BY ALL) USING (event_id)),
+m AS (SELECT p.event_id, p.user_id, p.i, median(q.value) AS mid, 1.4826 * mad(q.value) AS s FROM r AS p JOIN r AS q ON q.user_id = p.user_id AND q.i BETWEEN p.i - 15 AND p.i GROUP BY ALL),
+n AS (SELECT m.event_id, count(k.run) AS n FROM m LEFT JOIN k ON k.user_id = m.user_id AND k.f > m.i - 15 AND k.l < m.i AND m.s > 0 AND abs(k.level - mid) > 3 * s GROUP BY ALL)
+SELECT event_id, CASE WHEN t > 0 THEN a / t ELSE 0 END AS energy_1, CASE WHEN t > 0 THEN b / t ELSE 0 END AS energy_2, CASE WHEN t > 0 THEN c / t ELSE 0 END AS energy_3, CASE WHEN t <= 0 THEN 0 WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END AS dominant, n AS peaks FROM e JOIN n USING (event_id)"""
+
+
+@query("wavelet_rows", HAAR, "energy_1 energy_2 energy_3 dominant peaks")
 def _(s, sf):
-    return keyed(feature.wavelet(events(s, sf), columns=["value"], window=16, **SPEC))
+    out = keyed(feature.wavelet(events(s, sf), columns=["value"], window=16, **SPEC))
+    names = {f"energy_level_{k}": f"energy_{k}" for k in (1, 2, 3)} | {"dominant_level": "dominant", "peak_count": "peaks"}
+    return out.select("event_id", *(F.col(f"value__wavelet_{n}").alias(a) for n, a in names.items()))
+
 
+#: Over 20 even steps t and the centred square are orthogonal, so each coefficient is a slope of its own.
+QUADRATIC = f"""WITH {row_windows(20, 20)}, f AS (SELECT no, start, regr_slope(value, pos - start) AS b, regr_slope(value, (pos - start - 9.5) ** 2) AS c, avg(value) AS m, corr(value, pos - start) ** 2 + corr(value, (pos - start - 9.5) ** 2) ** 2 AS r, var_pop(value) AS v FROM w GROUP BY no, start)
+SELECT {WID}, c AS coef_2, b - 19 * c AS coef_1, m - 9.5 * b + 57 * c AS coef_0, r AS r2, r AS trend_strength, 0 AS residual_mean, sqrt(v * (1 - r)) AS residual_std FROM f""".replace("ORDER BY ts, event_id", "ORDER BY event_id")
+QUADRATIC_FIT = "coef_2 coef_1 coef_0 r2 trend_strength residual_mean residual_std"
 
-@query("fit_polynomial_windows")
+
+@query("fit_polynomial_windows", QUADRATIC, QUADRATIC_FIT)
 def _(s, sf):
-    return feature.fitting(events(s, sf).drop("ts"), columns=["value"], fitting_method="polynomial", group_column="user_id", window_size=20)
+    out = feature.fitting(events(s, sf).drop("ts"), columns=["value"], fitting_method="polynomial", group_column="user_id", window_size=20)
+    return out.select("window_id", *(F.col(f"value__{n}").alias(n) for n in QUADRATIC_FIT.split()))
 
 
 def orders(s, sf):
@@ -762,8 +810,26 @@ FREE = {
     "dtw": lambda s, sf: explore.dtw_distance(events(s, sf), first_column="value", second_column="event_id", band=20, group_column="user_id", time_column="ts"),
     "sbd": lambda s, sf: explore.shape_distance(events(s, sf), first_column="value", second_column="event_id", group_column="user_id", time_column="ts"),
 }
+#: Where only SQL's own functions are needed.
+_SERIES = RUNS.replace("ORDER BY ts, event_id", "ORDER BY event_id")
+FREE_SQL = {
+    "peaks": (f"""WITH {_SERIES}, p AS (SELECT user_id, (f + l) // 2 AS i, level FROM k),
+h AS (SELECT p.user_id, p.i, level, max(r.i) FILTER (r.i < p.i AND value > level) AS a, min(r.i) FILTER (r.i > p.i AND value > level) AS b FROM p JOIN r USING (user_id) GROUP BY ALL),
+g AS (SELECT h.user_id, h.i, level, min(value) FILTER (r.i < h.i AND r.i > coalesce(a, -1)) AS lo, min(value) FILTER (r.i > h.i AND (b IS NULL OR r.i < b)) AS hi FROM h JOIN r USING (user_id) GROUP BY ALL),
+z AS (SELECT * FROM g WHERE level - greatest(lo, hi) >= 5)
+SELECT u.user_id::VARCHAR AS series, 'value' AS "column", count(z.i) AS peaks, avg(level) AS mean_height, CASE WHEN count(z.i) > 1 THEN (max(z.i) - min(z.i)) / (count(z.i) - 1) END AS mean_spacing FROM (SELECT DISTINCT user_id FROM events) AS u LEFT JOIN z USING (user_id) GROUP BY u.user_id""", "mean_height mean_spacing"),
+    "normality": ("""WITH m AS (SELECT avg(value) AS m FROM events), c AS (SELECT count(value)::DOUBLE AS n, avg((value - m) ** 2) AS c2, avg((value - m) ** 3) AS c3, avg((value - m) ** 4) AS c4 FROM events, m),
+s AS (SELECT n, c3 / c2 ** 1.5 AS skew, c4 / c2 ** 2 AS b2, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM c),
+w AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / root * (2 / root + sqrt(1 + 4 / root ** 2)) AS a, (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x FROM s),
+z AS (SELECT *, asinh(skew * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) / sqrt(2 / (w2 - 1))) / sqrt(ln(w2) / 2) AS z1, (1 - 2 / a) / (1 + x * sqrt(2 / (a - 4))) AS t FROM w),
+k AS (SELECT *, z1 ** 2 + ((1 - 2 / (9 * a) - sign(t) * cbrt(abs(t))) / sqrt(2 / (9 * a))) ** 2 AS k2 FROM z)
+SELECT 'value' AS "column", n::BIGINT AS n, skew AS skewness, b2 - 3 AS kurtosis, k2 AS statistic, exp(-k2 / 2) AS p_value, exp(-k2 / 2) >= 0.05 AS normal FROM k""", "skewness kurtosis statistic p_value"),
+    "sbd": (f"""WITH r AS (SELECT user_id, row_number() OVER ({W}) - 1 AS i, count(*) OVER g AS n, (value - avg(value) OVER g) / stddev_pop(value) OVER g AS a, (event_id - avg(event_id) OVER g) / stddev_pop(event_id) OVER g AS b FROM events WINDOW g AS (PARTITION BY user_id)),
+c AS (SELECT p.user_id, p.i - q.i AS lag, sum(p.a * q.b) / p.n AS c FROM r AS p JOIN r AS q USING (user_id) WHERE abs(p.i - q.i) <= p.n // 2 GROUP BY p.user_id, p.i - q.i, p.n)
+SELECT user_id::VARCHAR AS series, 1 - max(c) AS distance, arg_max(lag, c) AS lag FROM c GROUP BY user_id""", "distance"),
+}
 for _n, _f in FREE.items():
-    query(_n)(_f)
+    query(_n, *FREE_SQL.get(_n, ()))(_f)
 
 
 # --- visual ---------------------------------------------------------------------------
