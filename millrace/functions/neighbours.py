@@ -1,4 +1,4 @@
-"""Exact distances to the nearest rows, without a task that sees all rows.
+"""Exact neighbours within a table, without a task that sees all rows.
 
 Distinct points fall into cells around pivots, and large cells into blocks. A query first
 meets the block it would belong to; the k-th distance there bounds its search, and the
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans.durable import materialize
@@ -26,19 +26,60 @@ BLOCK_BYTES, QUERIES = 1 << 22, 1 << 18
 AT_ONCE = 512
 
 
+METRICS = ("euclidean", "manhattan", "chebyshev")
+
+
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances by products: fit to choose by, not to report."""
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0.0)
 
 
-def nearest_in_block(x: np.ndarray, points: np.ndarray, copies: np.ndarray, k: int) -> np.ndarray:
+def _lengths(gaps: np.ndarray, metric: str) -> np.ndarray:
+    """Lengths of vectors (the last axis)."""
+    if metric == "euclidean":
+        return np.sqrt((gaps**2).sum(-1))
+    return np.abs(gaps).sum(-1) if metric == "manhattan" else np.abs(gaps).max(-1, initial=0.0)
+
+
+def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """All distances; Euclidean ones by products, with their rounding."""
+    if metric == "euclidean":
+        return np.sqrt(squares(a, b))
+    out = np.zeros((len(a), len(b)))
+    for i in range(a.shape[1]):
+        gap = np.abs(a[:, i, None] - b[None, :, i])
+        out = out + gap if metric == "manhattan" else np.maximum(out, gap)
+    return out
+
+
+def _room(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """More than the rounding of distances by products."""
+    return 1e-6 * (1 + np.sqrt((a * a).sum(1))[:, None] + np.sqrt((b * b).sum(1)))
+
+
+def count_in_block(x: np.ndarray, points: np.ndarray, copies: np.ndarray, eps: float, metric: str) -> np.ndarray:
+    """How many rows lie within ``eps`` of every query; doubtful pairs are measured again."""
+    out = np.zeros(len(x))
+    for at in range(0, len(x), AT_ONCE):
+        q = x[at : at + AT_ONCE]
+        d = _distances(q, points, metric)
+        near = d <= eps
+        i, j = np.nonzero(np.abs(d - eps) <= _room(q, points))
+        for cut in range(0, len(i), 1 << 16):
+            m, n = i[cut : cut + (1 << 16)], j[cut : cut + (1 << 16)]
+            near[m, n] = _lengths(q[m] - points[n], metric) <= eps
+        out[at : at + AT_ONCE] = near @ copies
+    return out[:, None]
+
+
+def nearest_in_block(x: np.ndarray, points: np.ndarray, copies: np.ndarray, k: int, metric: str) -> np.ndarray:
     """The k least distances of every query, ascending; a point counts once for each copy."""
     out = np.full((len(x), k), np.inf)
     few = min(k, len(points))
     for at in range(0, len(x) if few else 0, AT_ONCE):
         q = x[at : at + AT_ONCE]
-        pick = np.argpartition(squares(q, points), few - 1, axis=1)[:, :few]
-        d = np.sqrt(((q[:, None, :] - points[pick]) ** 2).sum(-1))
+        pick = np.argpartition(_distances(q, points, metric), few - 1, axis=1)[:, :few]
+        d = _lengths(q[:, None, :] - points[pick], metric)
         order = np.argsort(d, axis=1)
         d, n = np.take_along_axis(d, order, 1), np.take_along_axis(np.minimum(copies, k)[pick], order, 1)
         upto = n.cumsum(1)
@@ -50,8 +91,8 @@ def nearest_in_block(x: np.ndarray, points: np.ndarray, copies: np.ndarray, k: i
 class Neighbours:
     """The rows of a table as a searchable set; ``rows`` has an array column ``x`` without nulls."""
 
-    def __init__(self, rows: DataFrame, width: int, k: int):
-        self.k = k
+    def __init__(self, rows: DataFrame, width: int, metric: str = "euclidean"):
+        self.metric = metric
         points = materialize(rows.groupBy("x").agg(F.count("*").alias("n")), "points")
         total = points.count()
         size = max(256, BLOCK_BYTES // (8 * max(width, 1)))
@@ -65,7 +106,7 @@ class Neighbours:
 
     def _place(self, df: DataFrame) -> DataFrame:
         """The nearest pivot (``cell``) and the distance to it (``gap``)."""
-        pivots = self.pivots
+        pivots, metric = self.pivots, self.metric
 
         @F.pandas_udf("cell int, gap double")
         def near(v: pd.Series) -> pd.DataFrame:
@@ -73,7 +114,7 @@ class Neighbours:
             for at in range(0, len(v), AT_ONCE):
                 x = np.array(v.iloc[at : at + AT_ONCE].tolist(), float)
                 c = squares(x, pivots).argmin(1)
-                cell[at : at + AT_ONCE], gap[at : at + AT_ONCE] = c, np.sqrt(((x - pivots[c]) ** 2).sum(1))
+                cell[at : at + AT_ONCE], gap[at : at + AT_ONCE] = c, _lengths(x - pivots[c], metric)
             return pd.DataFrame({"cell": cell, "gap": gap})
 
         return df.withColumn("p", near("x")).select(*df.columns, "p.cell", "p.gap")
@@ -83,11 +124,14 @@ class Neighbours:
         counts = F.array(*(F.lit(int(max(b, 1))) for b in self.blocks))
         return df.withColumn("sub", F.pmod(F.xxhash64("x"), F.get(counts, F.col("cell"))).cast("int"))
 
-    def _meet(self, queries: DataFrame, rows: int) -> DataFrame:
-        """``best`` of every query (x, cell, sub) in the block it names: points stream first, then queries."""
-        salts, k = max(1, math.ceil(rows / QUERIES)), self.k
+    def _meet(self, queries: DataFrame, rows: int, points: DataFrame, of, none: float) -> DataFrame:
+        """``best = of(x, points, copies)`` of every query (x, cell, sub) in the block it names, or ``none`` where it is empty.
+
+        A task streams: the points of a block come first, then its queries. ``rows`` are at most put to one block.
+        """
+        salts = max(1, math.ceil(rows / QUERIES))
         sides = queries.select("cell", "sub", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(salts)).alias("salt"), F.lit(1).alias("side"), "x", F.lit(0).cast("long").alias("n"))
-        points = self.points.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        points = points.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
         both = sides.unionByName(points.withColumn("side", F.lit(0)))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,32 +146,55 @@ class Neighbours:
                     if len(q):
                         if matrix is None and held:
                             matrix = tuple(np.concatenate(m) for m in zip(*held))
-                        x = np.array(q["x"].tolist(), float)
-                        best = nearest_in_block(x, *matrix, k) if matrix else np.full((len(x), k), np.inf)
-                        yield pd.DataFrame({"x": q["x"].to_numpy(), "best": list(best)})
+                        best = list(of(np.array(q["x"].tolist(), float), *matrix)) if matrix else [[none]] * len(q)
+                        yield pd.DataFrame({"x": q["x"].to_numpy(), "best": best})
 
         return both.repartition("cell", "sub", "salt").sortWithinPartitions("cell", "sub", "salt", "side").mapInPandas(run, "x array<double>, best array<double>")
 
-    def mean_distance(self, queries: DataFrame) -> DataFrame:
-        """(x, score) for the distinct ``x`` of the queries: the mean of their k least distances."""
-        pivots, radius, blocks, k = self.pivots, self.radius, self.blocks, self.k
-        asked = materialize(self._block(self._place(queries.select("x").distinct())), "asked")
-        rows = asked.count()
-        first = materialize(self._meet(asked, rows), "first")
+    def _asked(self, queries: DataFrame) -> DataFrame:
+        """The distinct queries with the block that each would belong to."""
+        return materialize(self._block(self._place(queries.select("x").distinct())), "asked")
+
+    def _visits(self, asked: DataFrame, far: Column, own: bool) -> DataFrame:
+        """(x, cell, sub) for every block that may hold a point within ``far``; the query's own only if ``own``."""
+        pivots, radius, blocks, metric = self.pivots, self.radius, self.blocks, self.metric
 
         @F.pandas_udf("array<struct<cell:int,sub:int>>")
-        def others(v: pd.Series, best: pd.Series, cell: pd.Series, sub: pd.Series) -> pd.Series:
+        def reach(v: pd.Series, far: pd.Series, cell: pd.Series, sub: pd.Series) -> pd.Series:
             out = []
             for at in range(0, len(v), AT_ONCE):
                 x = np.array(v.iloc[at : at + AT_ONCE].tolist(), float)
-                far = np.array([b[-1] for b in best.iloc[at : at + AT_ONCE]])
-                room = 1e-6 * (1 + np.sqrt((x * x).sum(1))[:, None] + np.sqrt((pivots * pivots).sum(1)))  # rounding of products
-                visit = (blocks > 0) & (np.sqrt(squares(x, pivots)) - radius - room <= far[:, None])
+                limit = far.iloc[at : at + AT_ONCE].to_numpy(float)[:, None]
+                visit = (blocks > 0) & (_distances(x, pivots, metric) - radius - _room(x, pivots) <= limit)
                 for go, c, s in zip(visit, cell.iloc[at : at + AT_ONCE], sub.iloc[at : at + AT_ONCE]):
-                    out.append([{"cell": int(i), "sub": b} for i in np.flatnonzero(go) for b in range(blocks[i]) if (i, b) != (c, s)])
+                    out.append([{"cell": int(i), "sub": b} for i in np.flatnonzero(go) for b in range(blocks[i]) if own or (i, b) != (c, s)])
             return pd.Series(out)
 
-        more = self._block(self._place(first)).withColumn("to", F.explode(others("x", "best", "cell", "sub"))).select("x", "to.cell", "to.sub")
-        best = first.unionByName(self._meet(more, rows)).groupBy("x").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("b"))
-        total = F.aggregate("b", F.lit(0.0), lambda a, d: a + d)
-        return best.select("x", (total / k).alias("score"))
+        return asked.withColumn("to", F.explode(reach("x", far, "cell", "sub"))).select("x", "to.cell", "to.sub")
+
+    def mean_distance(self, queries: DataFrame, k: int) -> DataFrame:
+        """(x, score) for the distinct ``x`` of the queries: the mean of their k least distances."""
+        metric = self.metric
+        of = lambda x, points, copies: nearest_in_block(x, points, copies, k, metric)
+        asked = self._asked(queries)
+        rows = asked.count()
+        first = materialize(self._meet(asked, rows, self.points, of, math.inf), "first")
+        more = self._visits(self._block(self._place(first)), F.when(F.size("best") < k, math.inf).otherwise(F.element_at("best", -1)), False)
+        best = first.unionByName(self._meet(more, rows, self.points, of, math.inf)).groupBy("x").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("b"))
+        return best.select("x", (F.aggregate("b", F.lit(0.0), lambda a, d: a + d) / k).alias("score"))
+
+    def nearest_core(self, eps: float, least: int) -> tuple[DataFrame, int]:
+        """(x, score): the distance of the points to the nearest core point, where it is within ``eps``; and the core rows.
+
+        A core point has ``least`` rows within ``eps``, its own among them. No pair of points is written.
+        """
+        metric = self.metric
+        asked = self._asked(self.points)
+        rows = asked.count()
+        visits = materialize(self._visits(asked, F.lit(float(eps)), True), "visits")
+        counts = self._meet(visits, rows, self.points, lambda x, p, n: count_in_block(x, p, n, eps, metric), 0.0)
+        core = counts.groupBy("x").agg(F.sum(F.get("best", F.lit(0))).alias("m")).where(F.col("m") >= least).select("x")
+        core = materialize(self.points.join(core, "x", "left_semi").select(*self.points.columns), "core")
+        near = self._meet(visits, rows, core, lambda x, p, n: nearest_in_block(x, p, n, 1, metric), math.inf)
+        found = near.groupBy("x").agg(F.min(F.get("best", F.lit(0))).alias("score")).where(F.col("score") <= eps)
+        return found, core.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import kernels
-from millrace.functions.neighbours import Neighbours, squares
+from millrace.functions.neighbours import METRICS, Neighbours, squares
 from millrace.functions.position import before_bands, exact_quantiles
 from millrace.operators import evaluation as ev
 from millrace.operators.base import RID, OperatorError, guard, in_order, need, num, numeric_columns, operator
@@ -387,14 +387,14 @@ def _detect(df: DataFrame, columns, score_of, contamination: float | None, inclu
 class NeighbourDetector(Detector):
     """Mean distance to the nearest training rows, searched rather than computed from columns."""
 
-    def __init__(self, columns, stat, search: Neighbours):
+    def __init__(self, columns, stat, search: Neighbours, neighbors: int):
         super().__init__(columns, None, math.inf, True)
-        self.stat, self.search = stat, search
+        self.stat, self.search, self.neighbors = stat, search, neighbors
 
     def scored(self, df: DataFrame) -> DataFrame:
         x = F.array(*(_scaled(c, self.stat[c]) for c in self.columns))
         rows = df.select(RID, F.when(~F.exists(x, lambda v: v.isNull()), x).alias("x"))
-        return rows.join(self.search.mean_distance(rows.where("x is not null")), "x", "left").select(RID, "score")
+        return rows.join(self.search.mean_distance(rows.where("x is not null"), self.neighbors), "x", "left").select(RID, "score")
 
     def predict(self, df: DataFrame, scored: DataFrame | None = None) -> DataFrame:
         scored = self.scored(df) if scored is None else scored
@@ -408,7 +408,7 @@ def knn_detector(df, *, columns=(), contamination=0.05, neighbors=5):
     stat = _scaling(df, used)
     scaled = df.select(RID, *(_scaled(c, stat[c]).alias(c) for c in used))
     guard(scaled, **{f"c{i}": (F.col(c).isNull(), f"{c} has missing values") for i, c in enumerate(used)})
-    model = NeighbourDetector(used, stat, Neighbours(scaled.select(F.array(*used).alias("x")), len(used), min(neighbors, max(1, df.count()))))
+    model = NeighbourDetector(used, stat, Neighbours(scaled.select(F.array(*used).alias("x")), len(used)), min(neighbors, max(1, df.count())))
     scored = materialize(model.scored(df), "scored")
     if (cut := exact_quantiles(scored, {"s": F.col("score")}, (1 - contamination,))["s"][0]) is not None:
         model.threshold = float(cut)
@@ -629,30 +629,17 @@ def one_class_svm(df, *, columns=(), nu=0.05, kernel="rbf", gamma="scale"):
     return {"model": model, "prediction": pred, "metrics": {"rows": total, "anomalies": hit, "support_vectors": int(live.sum())} | fit}
 
 
-@operator("validation.dbscan_detector", "dataset:Dataset", DETECT_OUT, metric=("euclidean", "manhattan", "chebyshev"))
+@operator("validation.dbscan_detector", "dataset:Dataset", DETECT_OUT, metric=METRICS)
 def dbscan_detector(df, *, columns=(), eps=1.0, min_samples=5, metric="euclidean"):
-    """Distance to the nearest core row; rows farther than eps are anomalies.
-
-    Neighbours are counted by a grid join: cells of side eps over the first three columns, a
-    row meets the rows of its own and the adjacent cells.
-    """
+    """Distance to the nearest core row; rows farther than eps are anomalies."""
     used = numeric_columns(df, columns)
     stat = _scaling(df, used)
-    scaled = df.select(RID, *(_scaled(c, stat[c]).alias(f"v{i}") for i, c in enumerate(used)))
-    axes = range(min(3, len(used)))
-    cell = scaled.withColumns({f"g{i}": F.floor(F.col(f"v{i}") / eps).cast("long") for i in axes})
-    moves = list(itertools.product(*([(-1, 0, 1)] * len(axes))))
-    near = F.explode(F.array(*(F.struct(*(( F.col(f"g{i}") + m[i]).alias(f"h{i}") for i in axes)) for m in moves)))
-    other = cell.select(F.col(RID).alias("__o"), *(F.col(f"v{i}").alias(f"w{i}") for i in range(len(used))), near.alias("h"))
-    gap = [F.abs(F.col(f"v{i}") - F.col(f"w{i}")) for i in range(len(used))]
-    dist = {"euclidean": F.sqrt(sum((x * x for x in gap), F.lit(0.0))), "manhattan": sum(gap, F.lit(0.0)), "chebyshev": F.greatest(*gap, F.lit(0.0))}[metric]
-    same = lambda o: [cell[f"g{i}"] == o["h"][f"h{i}"] for i in axes]
-    pairs = cell.join(other, same(other)).withColumn("d", dist).where(F.col("d") <= eps)
-    core = pairs.groupBy(RID).agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col(RID).alias("__o"))
-    reach = pairs.join(core, "__o", "left_semi").groupBy(RID).agg(F.min("d").alias("score"))
-    pred = df.select(RID).join(reach, RID, "left").select(RID, F.coalesce("score", F.lit(float("inf"))).alias("score"), F.col("score").isNull().alias("is_anomaly"))
+    scaled = df.select(RID, F.array(*(_scaled(c, stat[c]) for c in used)).alias("x"))
+    guard(scaled, missing=(F.exists("x", lambda v: v.isNull()), "a column has missing values"))
+    reach, core = Neighbours(scaled, len(used), metric).nearest_core(eps, min_samples)
+    pred = materialize(scaled.join(reach, "x", "left").select(RID, F.coalesce("score", F.lit(math.inf)).alias("score"), F.col("score").isNull().alias("is_anomaly")), "scored")
     n, hit = pred.agg(F.count("*"), F.count_if("is_anomaly")).first()
-    return {"model": {"eps": eps, "columns": used, "scaling": stat}, "prediction": pred, "metrics": {"rows": n, "anomalies": hit, "core": core.count()}}
+    return {"model": {"eps": eps, "columns": used, "scaling": stat}, "prediction": pred, "metrics": {"rows": n, "anomalies": hit, "core": core}}
 
 
 # --- change detectors -----------------------------------------------------------------

@@ -38,6 +38,26 @@ def test_knn_detector_measures_against_all_rows(spark, monkeypatch, width):
     assert np.allclose([scored[i] for i in range(len(new))], brute((new - x.mean(0)) / x.std(0), z, 5), rtol=1e-9)
 
 
+@pytest.mark.parametrize("metric", neighbours.METRICS)
+def test_dbscan_detector_against_brute_force(spark, monkeypatch, metric):
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(neighbours, "QUERIES", 300)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(900, 2)), np.tile([[3.0, 3.0]], (400, 1)), rng.uniform(-9, 9, (60, 2))])
+    df, names = frame(spark, x)
+    out = validation.dbscan_detector(df, columns=names, eps=0.2, min_samples=6, metric=metric)
+    z = (x - x.mean(0)) / x.std(0)
+    gap = z[:, None, :] - z
+    d = {"euclidean": np.sqrt((gap**2).sum(-1)), "manhattan": np.abs(gap).sum(-1), "chebyshev": np.abs(gap).max(-1)}[metric]
+    core = (d <= 0.2).sum(1) >= 6
+    want = d[:, core].min(1)
+    want[want > 0.2] = np.inf
+    got = {r[RID]: (r["score"], r["is_anomaly"]) for r in out["prediction"].collect()}
+    assert np.allclose([got[i][0] for i in range(len(x))], want, rtol=1e-9, atol=1e-12)
+    assert 0 < out["metrics"]["anomalies"] == np.isinf(want).sum() == sum(a for _, a in got.values())
+    assert out["metrics"]["core"] == core.sum()
+
+
 def test_few_rows_copies_and_missing_values(spark):
     df, names = frame(spark, np.array([[1.0], [1.0], [4.0]]))
     out = validation.knn_detector(df, columns=names, neighbors=9)
