@@ -817,7 +817,7 @@ FREE_SQL = {
 h AS (SELECT p.user_id, p.i, level, max(r.i) FILTER (r.i < p.i AND value > level) AS a, min(r.i) FILTER (r.i > p.i AND value > level) AS b FROM p JOIN r USING (user_id) GROUP BY ALL),
 g AS (SELECT h.user_id, h.i, level, min(value) FILTER (r.i < h.i AND r.i > coalesce(a, -1)) AS lo, min(value) FILTER (r.i > h.i AND (b IS NULL OR r.i < b)) AS hi FROM h JOIN r USING (user_id) GROUP BY ALL),
 z AS (SELECT * FROM g WHERE level - greatest(lo, hi) >= 5)
-SELECT u.user_id::VARCHAR AS series, 'value' AS "column", count(z.i) AS peaks, avg(level) AS mean_height, CASE WHEN count(z.i) > 1 THEN (max(z.i) - min(z.i)) / (count(z.i) - 1) END AS mean_spacing FROM (SELECT DISTINCT user_id FROM events) AS u LEFT JOIN z USING (user_id) GROUP BY u.user_id""", "mean_height mean_spacing"),
+SELECT u.user_id::VARCHAR AS series, 'value' AS "column", count(z.i) AS peaks, avg(level) AS mean_height, CASE WHEN count(z.i) > 1 THEN (max(z.i) - min(z.i)) / (count(z.i) - 1) END AS mean_spacing FROM (SELECT DISTINCT user_id FROM events) AS u LEFT JOIN z USING (user_id) GROUP BY u.user_id""", "mean_height mean_spacing", 8),
     "normality": ("""WITH m AS (SELECT avg(value) AS m FROM events), c AS (SELECT count(value)::DOUBLE AS n, avg((value - m) ** 2) AS c2, avg((value - m) ** 3) AS c3, avg((value - m) ** 4) AS c4 FROM events, m),
 s AS (SELECT n, c3 / c2 ** 1.5 AS skew, c4 / c2 ** 2 AS b2, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS beta, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS root FROM c),
 w AS (SELECT *, sqrt(2 * (beta - 1)) - 1 AS w2, 6 + 8 / root * (2 / root + sqrt(1 + 4 / root ** 2)) AS a, (b2 - 3 * (n - 1) / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))) AS x FROM s),
