@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -21,7 +22,9 @@ import millrace.operators.feature
 import millrace.operators.quality
 import millrace.operators.validation
 import millrace.operators.visual  # noqa: F401  (all register their operators)
+from millrace import __version__
 from millrace.operators.base import OPERATORS, RID, OperatorError
+from millrace.plans.durable import shared_dir
 
 PREVIEW = 50
 HISTORY = 200
@@ -291,6 +294,7 @@ class Service:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.runners: dict[str, Runner] = {}
+        self.pool, self.running = ThreadPoolExecutor(), {}
 
     def create_pipeline(self, name: str) -> Graph:
         if name in self.runners:
@@ -325,8 +329,53 @@ class Service:
             self.runners[name] = Runner(self.spark, Graph.from_json(f.read()))
         return self.runners[name].graph
 
-    def execute_pipeline(self, name: str, **how) -> dict[str, str]:
-        return self._runner(name).execute(**how)
+    def execute_pipeline(self, name: str, background: bool = False, **how) -> dict[str, str]:
+        """Run a pipeline; in the background, ``wait_for_pipeline`` or its status tell when it is done."""
+        r = self._runner(name)
+        if (busy := self.running.get(name)) is not None and not busy.done():
+            raise OperatorError(f"pipeline {name!r} is running")
+        if not background:
+            return r.execute(**how)
+        self.running[name] = self.pool.submit(r.execute, **how)
+        return dict(r.status)
+
+    def wait_for_pipeline(self, name: str, timeout: float | None = None) -> dict:
+        """Block until a background run ends or ``timeout`` seconds have gone; ``finished`` tells which."""
+        self._runner(name)
+        run = self.running.get(name)
+        if run is not None:
+            wait([run], timeout)
+            if run.done():
+                run.result()  # a graph that could not start raises here
+        return self.get_pipeline_status(name) | {"finished": run is None or run.done()}
+
+    def get_pipeline_result(self, name: str, rows: int = 5) -> dict:
+        """Every finished node's outputs: columns and the first rows of a table, other values as they are."""
+        r = self._runner(name)
+        show = lambda id, out, v: {"columns": v.columns, "rows": r.preview(id, out, rows)} if isinstance(v, DataFrame) else v
+        done = {id: {out: show(id, out, v) for out, v in values.items() if v is not None} for id, values in r.results.items() if r.status.get(id) in ("done", "reused")}
+        return self.get_pipeline_status(name) | {"outputs": done}
+
+    def list_checkpoints(self, name: str) -> list[dict]:
+        return [{"name": n, "nodes": sorted(json.loads(text)["nodes"], key=lambda x: x["id"]), "results": sorted(results)} for n, (text, results, _) in self._runner(name).saved.items()]
+
+    def get_server_info(self) -> dict:
+        """Versions, the shared folder and what the service holds."""
+        return {
+            "version": __version__, "spark": self.spark.version, "master": self.spark.sparkContext.master, "shared_folder": shared_dir(self.spark),
+            "components": len(OPERATORS), "pipelines": len(self.runners), "kept_results": sum(len(r.results) for r in self.runners.values()),
+        }
+
+    def list_datasets(self, root: str, limit: int = 200) -> list[dict]:
+        """CSV and Parquet files below a folder that Spark can reach, by path, ``limit`` of them at most."""
+        jvm, out = self.spark.sparkContext._jvm, []
+        at = jvm.org.apache.hadoop.fs.Path(root)
+        files = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+        while files.hasNext():
+            f = files.next()
+            if (path := f.getPath().toString()).endswith((".csv", ".parquet")):
+                out.append({"path": path, "bytes": f.getLen()})
+        return sorted(out, key=lambda f: f["path"])[:limit]
 
     def get_pipeline_status(self, name: str) -> dict:
         r = self._runner(name)
