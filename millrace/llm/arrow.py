@@ -12,22 +12,22 @@ from pyspark.sql.types import StructType
 ROWS, BYTES = 1000, 1 << 23
 
 
-def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in order, cut into parts within ``ROWS`` and ``BYTES``."""
-    if batch.num_rows <= ROWS and (batch.num_rows <= 1 or batch.nbytes <= BYTES):
+def parts(batch: pa.RecordBatch, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in order, cut into parts within ``rows`` and ``BYTES``."""
+    if batch.num_rows <= rows and (batch.num_rows <= 1 or batch.nbytes <= BYTES):
         yield batch
     else:
         half = batch.num_rows // 2
-        yield from parts(batch.slice(0, half))
-        yield from parts(batch.slice(half))
+        yield from parts(batch.slice(0, half), rows)
+        yield from parts(batch.slice(half), rows)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType, rows: int = ROWS) -> DataFrame:
     """``mapInArrow`` with one output batch for each part of an input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in parts(batch):
+            for part in parts(batch, rows):
                 yield fn(part)
 
     return df.mapInArrow(run, schema)
